@@ -26,6 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "16777216") -> None:
+    """Arrow batches end at 16 MB unless the session says otherwise: row counts alone do not bound long texts."""
+    if spark.conf.get(BATCH_BYTES, None) in (None, "", str(2**31 - 1), str(2**63 - 1), "-1"):
+        spark.conf.set(BATCH_BYTES, size)
+
+
 class Stages:
     """Tables written to the shared folder to cut lineage.
 
@@ -34,6 +43,7 @@ class Stages:
     """
 
     def __init__(self, spark: SparkSession, label: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
@@ -55,12 +65,15 @@ class Stages:
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, so columns of any other name can neither clash nor be read."""
+    bound_batches(docs.sparkSession)
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches never reach it."""
 
+    bound_batches(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
