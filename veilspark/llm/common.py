@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -29,8 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def bound_batches(spark: SparkSession, size: str = "16777216") -> None:
-    """Arrow batches end at 16 MB unless the session says otherwise: row counts alone do not bound long texts."""
+def bound_batches(spark: SparkSession, size: str = "4194304") -> None:
+    """Arrow batches end at 4 MB unless the session says otherwise: row counts alone do not bound long texts."""
     if spark.conf.get(BATCH_BYTES, None) in (None, "", str(2**31 - 1), str(2**63 - 1), "-1"):
         spark.conf.set(BATCH_BYTES, size)
 
@@ -69,6 +70,15 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def release() -> None:
+    """Hands memory that a finished task freed back to the system, as an idle worker keeps it otherwise."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch; empty batches never reach it."""
 
@@ -78,6 +88,7 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], Iterator[pa.
         for batch in batches:
             if batch.num_rows:
                 yield from function(batch)
+        release()
 
     return df.mapInArrow(run, schema)
 

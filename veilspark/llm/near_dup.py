@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec as tv
-from .common import Stages, keyed_text, map_batches, schema_of
+from .common import Stages, keyed_text, map_batches, release, schema_of
 
 SALTS = 64
 BLOCK = 128
@@ -204,6 +204,7 @@ def _full_sets(docs: DataFrame, bloom, bits: int, shingle: int) -> DataFrame:
                     seen.clear()
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["nd_key", "nd_set"])
+        release()
 
     return docs.select("nd_text").mapInArrow(run, "nd_key binary, nd_set binary")
 
@@ -234,6 +235,7 @@ def _confirm_stars(percent: int):
                     a.append(key)
                     b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+        release()
 
     return run
 
