@@ -18,8 +18,8 @@ Steps, each of which reads what the one before wrote to the shared folder:
 5. components of both rounds give every row its ``component_id``.
 
 No step holds a whole group: stars and aggregates are combined map-side, hubs are salted, blocks
-have a fixed size.  With the defaults (3, 24) a pair at similarity 0.75 is missed with probability
-4e-6, far below any other source of error; more similar pairs less.
+have a fixed size.  With the defaults (3, 20) a pair at similarity 0.75 exactly meets in no table with
+probability 4e-5, one at 0.8 with 1e-6; a component is lost only if all its paths are.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from .common import Stages, keyed_text, map_batches, release, schema_of
 
 SALTS = 64
 BLOCK = 128
+SEND = 200_000
 BLOOM_BITS = 1 << 24
 
 
@@ -287,17 +288,28 @@ def _block_links(percent: int, tuples: int):
     return run
 
 
-def _resolve_tangles(stages: Stages, at: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
-    """Links between components that meet in a table key of three classes or more."""
-    rooted = at.join(labels.withColumnRenamed("node", "nd_key"), "nd_key", "left").select("at", "nd_key", F.coalesce("root", "nd_key").alias("root"))
-    rooted = stages.write(rooted, "rooted")
-    mixed = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.min("nd_key").alias("hub")).where("lo <> hi AND n > 2")
-    mixed = stages.write(mixed.select("at", "hub"), "mixed")
-    ties = rooted.join(mixed, "at").select(F.col("hub").alias("a"), F.col("nd_key").alias("b"), "root").distinct()
+def _sent(stages: Stages, df: DataFrame, name: str) -> DataFrame:
+    """df, written; with a broadcast hint while it has at most SEND rows (some 20 MB), else to be joined by shuffle."""
+    df = stages.write(df, name)
+    return F.broadcast(df) if df.limit(SEND + 1).count() <= SEND else df
+
+
+def _resolve_tangles(stages: Stages, at: DataFrame, stars: DataFrame, links: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
+    """Links between components that meet in a table key of three classes or more.
+
+    A key is mixed only if one of its ties was not confirmed and still joins two components.
+    """
+    open_ties = stars.join(links.select(F.col("a").alias("hub"), F.col("b").alias("member")), ["hub", "member"], "left_anti")
+    roots = labels.select("node", "root")
+    open_ties = open_ties.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("ra")), "hub", "left")
+    open_ties = open_ties.join(roots.select(F.col("node").alias("member"), F.col("root").alias("rb")), "member", "left")
+    open_ties = open_ties.where(F.coalesce("ra", "hub") != F.coalesce("rb", "member")).select("hub", F.col("member").alias("nd_key"))
+    larger = at.where("n > 2")
+    mixed = larger.join(_sent(stages, open_ties, "open"), ["hub", "nd_key"]).select("at").distinct()
+    ties = larger.join(_sent(stages, mixed, "mixed"), "at").select(F.col("hub").alias("a"), F.col("nd_key").alias("b")).distinct()
     ties = stages.write(ties, "ties")
     tangle = components(stages, ties.select("a", "b"), "tangle")
-    roots = labels.select(F.col("node").alias("nd_key"), "root")
-    members = tangle.select(F.col("node").alias("nd_key"), F.col("root").alias("tangle")).join(roots, "nd_key", "left").select("nd_key", "tangle", F.coalesce("root", "nd_key").alias("root"))
+    members = tangle.select(F.col("node").alias("nd_key"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nd_key"), "nd_key", "left").select("nd_key", "tangle", F.coalesce("root", "nd_key").alias("root"))
     members = stages.write(members, "members")
     blocks = members.groupBy("tangle").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
     blocks = stages.write(blocks, "blocks")
@@ -318,7 +330,7 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     shared = stages.write(shared, "shared")
     live = stages.write(left.join(shared, "part"), "live").join(classes.select("nd_key", "nd_sig"), "nd_key").select("part", "nd_key", "nd_sig")
     at = stages.write(map_batches(live, _table_rows(tuples), "at long, nd_key binary"), "at")
-    tables = stages.write(at.groupBy("at").agg(F.min("nd_key").alias("hub"), F.max("nd_key").alias("hi")).where("hub <> hi").select("at", "hub"), "tables")
+    tables = stages.write(at.groupBy("at").agg(F.min("nd_key").alias("hub"), F.max("nd_key").alias("hi"), F.count("*").alias("n")).where("hub <> hi").select("at", "hub", "n"), "tables")
     at = stages.write(at.join(tables, "at"), "at-shared")
     stages.drop("at")
     stars = stages.write(at.where("hub <> nd_key").select("hub", F.col("nd_key").alias("member")).distinct(), "stars")
@@ -327,7 +339,7 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     sets = stages.write(_full_sets(docs, bloom, BLOOM_BITS, shingle).groupBy("nd_key").agg(F.first("nd_set").alias("nd_set")), "sets")
     links = stages.write(confirm_stars(stars, sets, percent), "links")
     labels = components(stages, links, "star")
-    more = stages.write(_resolve_tangles(stages, at.select("at", "nd_key"), labels, classes, sets, percent, tuples), "more")
+    more = stages.write(_resolve_tangles(stages, at, stars, links, labels, classes, sets, percent, tuples), "more")
     if not more.isEmpty():
         labels = components(stages, links.unionAll(more), "all")
     least = classes.select("nd_key", "least_id")
@@ -336,12 +348,12 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     linked = stages.write(known.join(smallest, "root").select("nd_key", "component_id"), "linked")
     whole = least.join(linked, "nd_key", "left").select("nd_key", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
     whole = stages.write(whole, "components")
-    stages.drop("classes", "shared", "live", "tables", "at-shared", "stars", "sets", "links", "rooted", "mixed", "ties", "members", "blocks", "more", "smallest", "linked")
+    stages.drop("classes", "shared", "live", "tables", "at-shared", "stars", "sets", "links", "open", "mixed", "ties", "members", "blocks", "more", "smallest", "linked")
     bloom.destroy()
     return whole
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 20) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their distinct word
@@ -361,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 20) -> DataFrame:
     """The rows of docs with one row for each group of near copies, all columns as they were.
 
     The row with the smallest id stays; of repeated rows with that id and shingle set, one.  Texts
