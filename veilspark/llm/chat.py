@@ -83,27 +83,32 @@ def tree(paths: DataFrame, stages: Stages) -> DataFrame:
         F.length(head).alias("text_start"),
         (F.length(head) + F.length(body)).alias("text_end"),
         (F.col("role") == LEARNED).alias("learned"),
-    ).withColumn("size", F.length("formatted").cast("long"))
-    ordered = nodes.repartitionByRange("path").sortWithinPartitions("path").withColumn("part", F.spark_partition_id())
-    ordered = stages.write(ordered, "ordered")
+    )
+    nodes = stages.write(nodes, "nodes")
+    # The layout needs sizes only; texts are joined to it once at the end.
+    sizes = nodes.select("tree", "path", "node", "depth", F.length("formatted").cast("long").alias("size"))
+    ordered = stages.write(sizes.repartitionByRange("path").withColumn("part", F.spark_partition_id()), "ordered")
     sums = ordered.groupBy("tree", "part").agg(F.sum("size").alias("held"))
     before = F.coalesce(F.sum("held").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     before = stages.write(sums.select("tree", "part", before.alias("before")), "before")
     here = F.sum("size").over(Window.partitionBy("part", "tree").orderBy("path"))
     placed = ordered.withColumn("end", here).join(before, ["tree", "part"]).withColumn("end", F.col("end") + F.col("before"))
-    placed = placed.withColumn("start", F.col("end") - F.col("size")).drop("before", "part", "size")
-    placed = stages.write(placed, "placed")
-    above = placed.where("depth > 0").select("path", F.explode(F.expr(f"transform(sequence(1, depth), d -> substring(path, 1, d * {_WIDTH}))")).alias("above"))
-    spans = placed.select(F.col("path").alias("above"), F.struct("depth", "start", "end").alias("span"))
-    seen = above.join(spans, "above").groupBy("path").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    joined = placed.join(seen, "path", "left")
+    placed = placed.withColumn("start", F.col("end") - F.col("size"))
+    own = F.expr(f"right(path, {_WIDTH})")
+    placed = stages.write(placed.select("tree", "path", "node", own.alias("own"), "depth", "start", "end"), "placed")
+    names = F.expr(f"transform(sequence(1, depth), d -> substring(path, (d - 1) * {_WIDTH} + 1, {_WIDTH}))")
+    above = placed.where("depth > 0").select("tree", "node", F.explode(names).alias("own"))
+    spans = placed.select("tree", "own", F.struct("depth", "start", "end").alias("span"))
+    seen = above.join(spans, ["tree", "own"]).groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    layout = placed.select("node", "start", "end").join(seen, "node", "left")
     attends = F.transform(F.coalesce("spans", F.array().cast("array<struct<depth:int,start:bigint,end:bigint>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    layout = layout.select("node", "start", "end", attends.alias("attends"))
     position = F.aggregate("attends", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return stages.write(joined.withColumn("attends", attends).withColumn("position", position).drop("spans"), "tree")
+    return stages.write(nodes.join(layout.withColumn("position", position), "node"), "tree")
 
 
 def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves): the output of ``tree`` and (conv_id, n_turns, path), the last node of each conversation.
+    """(nodes, leaves): the output of ``tree`` and (conv_id, n_turns, node), the last node of each conversation.
 
     Columns other than conv_id, turn, role and text are not read.  Equal conversations share all
     nodes.  An empty table gives two empty tables.
@@ -111,8 +116,8 @@ def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame
     stages = Stages(conversations.sparkSession, "chat")
     paths = stages.write(path_rows(conversations.select("conv_id", "turn", "role", "text")), "paths")
     nodes = tree(paths, stages)
-    leaves = stages.write(paths.where("depth = n_turns - 1").select("conv_id", "n_turns", "path"), "leaves")
-    stages.drop("paths", "ordered", "before", "placed")
+    leaves = stages.write(paths.where("depth = n_turns - 1").select("conv_id", "n_turns", "node"), "leaves")
+    stages.drop("paths", "nodes", "ordered", "before", "placed")
     return nodes, leaves
 
 
@@ -122,14 +127,19 @@ def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     formatted joins the segments of the leaf and the layout intervals it attends to; learned joins
     what stands under the loss mask, still escaped, in order.
     """
-    ends = leaves.select("path").distinct().join(nodes.select("path", "tree", "start", "end", "attends"), "path")
+    ends = leaves.select("node").distinct().join(nodes.select("node", "tree", "start", "end", "attends"), "node")
     own = F.struct(F.col("start"), F.col("end"))
-    wanted = ends.select("path", "tree", F.posexplode(F.concat("attends", F.array(own))).alias("k", "at")).select("path", "tree", "k", F.col("at.start").alias("start"))
-    masked = F.when(F.col("learned"), F.expr("substring(formatted, text_start + 1, text_end - text_start)"))
-    segments = nodes.select("tree", "start", "formatted", masked.alias("masked"))
-    joined = wanted.join(segments, ["tree", "start"]).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("k", "formatted", "masked"))).alias("parts"))
-    texts = joined.select("path", F.array_join("parts.formatted", "").alias("formatted"), F.array_join("parts.masked", "").alias("learned"))
-    return leaves.join(texts, "path").select("conv_id", "n_turns", "formatted", "learned")
+    wanted = ends.select(F.col("node").alias("leaf"), "tree", F.posexplode(F.concat("attends", F.array(own))).alias("k", "at")).select("leaf", "tree", "k", F.col("at.start").alias("start"))
+    segments = nodes.select("tree", "start", F.struct("formatted", "text_start", "text_end", "learned").alias("segment"))
+    parts = wanted.join(segments, ["tree", "start"]).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "segment"))).alias("parts"))
+
+    def masked(p):
+        s = p["segment"]
+        return F.when(s["learned"], F.substring(s["formatted"], s["text_start"] + 1, s["text_end"] - s["text_start"])).otherwise("")
+
+    formatted = F.array_join(F.transform("parts", lambda p: p["segment"]["formatted"]), "")
+    texts = parts.select(F.col("leaf").alias("node"), formatted.alias("formatted"), F.array_join(F.transform("parts", masked), "").alias("learned"))
+    return leaves.join(texts, "node").select("conv_id", "n_turns", "formatted", "learned")
 
 
 def digest(back: DataFrame) -> DataFrame:
