@@ -65,13 +65,14 @@ def _link(state: Column, name: Column) -> Column:
     return F.struct(name.alias("last"), F.concat(state["all"], F.array(name)).alias("all"))
 
 
-def tree(paths: DataFrame, stages: Stages) -> DataFrame:
+def tree(paths: DataFrame, leaves: DataFrame, stages: Stages) -> DataFrame:
     """The emitted output: each distinct node once.
 
     tree (name of the first turn), path, node, depth, role, formatted (template text, escaped),
     text_start and text_end (where the escaped text stands in it), learned (whether it is under the
     loss mask), start and end (layout interval in the tree), position (position id of its first
-    token) and attends (layout intervals of its ancestors, root first).
+    token) and attends (layout intervals of its ancestors, root
+    first, neighbouring ones joined); own is its short name in the tree.
     """
     nodes = paths.groupBy("node").agg(F.first("path").alias("path"), F.first("depth").alias("depth"), F.first("role").alias("role"), F.first("text").alias("text"))
     head = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(CLOSE))
@@ -96,15 +97,35 @@ def tree(paths: DataFrame, stages: Stages) -> DataFrame:
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
     own = F.expr(f"right(path, {_WIDTH})")
     placed = stages.write(placed.select("tree", "path", "node", own.alias("own"), "depth", "start", "end"), "placed")
-    names = F.expr(f"transform(sequence(1, depth), d -> substring(path, (d - 1) * {_WIDTH} + 1, {_WIDTH}))")
-    above = placed.where("depth > 0").select("tree", "node", F.explode(names).alias("own"))
-    spans = placed.select("tree", "own", F.struct("depth", "start", "end").alias("span"))
-    seen = above.join(spans, ["tree", "own"]).groupBy("node").agg(F.array_sort(F.collect_list("span")).alias("spans"))
-    layout = placed.select("node", "start", "end").join(seen, "node", "left")
-    attends = F.transform(F.coalesce("spans", F.array().cast("array<struct<depth:int,start:bigint,end:bigint>>")), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    layout = layout.select("node", "start", "end", attends.alias("attends"))
+    # Walked along whole conversations, one row for each turn of a leaf: linear, where every node with all its ancestors is not.
+    steps = _steps(placed.join(leaves.select("node").distinct(), "node"))
+    walked = steps.join(placed.select("tree", "own", "node", "start", "end"), ["tree", "own"])
+    walked = walked.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "node", "start", "end"))).alias("steps"))
+    seen = walked.select(F.explode(_prefix_runs("steps")).alias("x")).groupBy("x.node").agg(F.first("x.attends").alias("attends"))
     position = F.aggregate("attends", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return stages.write(nodes.join(layout.withColumn("position", position), "node"), "tree")
+    layout = placed.select("node", "own", "start", "end").join(seen, "node").withColumn("position", position)
+    return stages.write(nodes.join(layout, "node"), "tree")
+
+
+def _steps(leaves: DataFrame) -> DataFrame:
+    """(tree, leaf, k, own): the short names of all nodes from the root to each leaf (tree, node, path, depth)."""
+    names = F.expr(f"transform(sequence(1, depth + 1), d -> substring(path, (d - 1) * {_WIDTH} + 1, {_WIDTH}))")
+    return leaves.select("tree", F.col("node").alias("leaf"), F.posexplode(names).alias("k", "own"))
+
+
+def _prefix_runs(steps: str) -> Column:
+    """For each step of a path the layout intervals of the steps before it, neighbours joined."""
+    run = "array<struct<start:bigint,end:bigint>>"
+
+    def add(state, x):
+        runs, last = state["runs"], F.try_element_at(state["runs"], F.lit(-1))
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(F.struct(last["start"].alias("start"), x["end"].alias("end"))))
+        more = F.concat(runs, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+        runs_after = F.when(F.coalesce(last["end"] == x["start"], F.lit(False)), longer).otherwise(more)
+        return F.struct(runs_after.alias("runs"), F.concat(state["out"], F.array(F.struct(x["node"].alias("node"), runs.alias("attends")))).alias("out"))
+
+    start = F.struct(F.array().cast(run).alias("runs"), F.array().cast(f"array<struct<node:string,attends:{run}>>").alias("out"))
+    return F.aggregate(steps, start, add, lambda state: state["out"])
 
 
 def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -115,8 +136,8 @@ def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame
     """
     stages = Stages(conversations.sparkSession, "chat")
     paths = stages.write(path_rows(conversations.select("conv_id", "turn", "role", "text")), "paths")
-    nodes = tree(paths, stages)
     leaves = stages.write(paths.where("depth = n_turns - 1").select("conv_id", "n_turns", "node"), "leaves")
+    nodes = tree(paths, leaves, stages)
     stages.drop("paths", "nodes", "ordered", "before", "placed")
     return nodes, leaves
 
@@ -124,14 +145,15 @@ def format_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame
 def read_back(nodes: DataFrame, leaves: DataFrame) -> DataFrame:
     """(conv_id, n_turns, formatted, learned): each conversation from the emitted nodes it attends to.
 
-    formatted joins the segments of the leaf and the layout intervals it attends to; learned joins
+    formatted joins the segments on the leaf's path that lie in the layout intervals it may see; learned joins
     what stands under the loss mask, still escaped, in order.
     """
-    ends = leaves.select("node").distinct().join(nodes.select("node", "tree", "start", "end", "attends"), "node")
-    own = F.struct(F.col("start"), F.col("end"))
-    wanted = ends.select(F.col("node").alias("leaf"), "tree", F.posexplode(F.concat("attends", F.array(own))).alias("k", "at")).select("leaf", "tree", "k", F.col("at.start").alias("start"))
-    segments = nodes.select("tree", "start", F.struct("formatted", "text_start", "text_end", "learned").alias("segment"))
-    parts = wanted.join(segments, ["tree", "start"]).groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "segment"))).alias("parts"))
+    ends = nodes.join(leaves.select("node").distinct(), "node")
+    visible = F.concat("attends", F.array(F.struct("start", "end"))).alias("visible")
+    wanted = _steps(ends).join(ends.select(F.col("node").alias("leaf"), visible), "leaf")
+    segments = nodes.select("tree", "own", "start", "end", F.struct("formatted", "text_start", "text_end", "learned").alias("segment"))
+    seen = wanted.join(segments, ["tree", "own"]).where(F.exists("visible", lambda v: (v["start"] <= F.col("start")) & (F.col("end") <= v["end"])))
+    parts = seen.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("k", "segment"))).alias("parts"))
 
     def masked(p):
         s = p["segment"]
