@@ -166,8 +166,9 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
     dc_hits is an array of [first word, end) of the words inside any window's occurrence; dc_items
     are the ids, as strings, of the items with occurring windows, sorted.  Null or empty texts and
     items have no words and no windows.  Items of equal text are all reported.  An empty benchmark
-    marks nothing.
+    marks nothing.  Columns of docs named like the three are replaced.
     """
+    docs = docs.drop("dc_words", "dc_hits", "dc_items")
     rows = items.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator()
     windows = item_windows([(r[0], r[1]) for r in rows])
     counts = frequencies(docs, windows, text_col) if windows else {}

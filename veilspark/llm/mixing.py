@@ -68,7 +68,9 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     are drawn alike, null ids as one id.  Columns of docs named mix_copy or mix_key are replaced.
     """
     docs = docs.drop("mix_copy", "mix_key")
-    columns = docs.columns
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    id_col, source_col, text_col = (columns[docs.columns.index(c)] for c in (id_col, source_col, text_col))
+    names, docs = docs.columns, docs.toDF(*columns)
     rate = rates(docs, weights, budget, source_col, text_col)
     table = rate.select("mix_source", poisson_table(F.col("rate")).alias("mix_table"))
     rows = docs.withColumn("mix_source", F.coalesce(F.col(source_col).cast("string"), F.lit("")))
@@ -82,4 +84,4 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     rows = rows.withColumn("mix_u", u).withColumn("mix_n", copies).where("mix_n > 0")
     rows = rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_copy"))
-    return rows.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key")
+    return rows.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").toDF(*names, "mix_copy", "mix_key")

@@ -384,9 +384,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     rows = stages.write(signed_rows(text, shingle, width, tuples), "rows")
     whole = class_components(text, rows, stages, shingle, percent, width, tuples)
     stages.drop("rows")
-    columns = docs.columns
-    keyed = signed_rows(docs.withColumn("nd_text", F.col(text_col).cast("string")), shingle, 0, 0)
-    none = keyed.where("nd_key IS NULL").select(columns)
+    # Carried columns get names of their own, whatever they are called in docs.
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    id_name, text_name = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    renamed = docs.toDF(*names)
+    keyed = signed_rows(renamed.withColumn("nd_text", F.col(text_name).cast("string")), shingle, 0, 0)
+    none = keyed.where("nd_key IS NULL").select(names)
     kept = keyed.where("nd_key IS NOT NULL").join(whole.withColumnRenamed("component_id", "nd_component"), "nd_key")
-    kept = kept.where(F.col(id_col).eqNullSafe(F.col("nd_component")))
-    return kept.dropDuplicates(["nd_key", id_col]).select(columns).unionAll(none)
+    kept = kept.where(F.col(id_name).eqNullSafe(F.col("nd_component")))
+    return kept.dropDuplicates(["nd_key", id_name]).select(names).unionAll(none).toDF(*docs.columns)
