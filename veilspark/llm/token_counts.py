@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_text, map_batches
+from .common import Stages, keyed_text, map_batches
 
 #: entries of the broadcast table, each of at most LONGEST characters: under 8 MB
 ENTRIES = 1 << 16
@@ -108,7 +108,17 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequent_lengths(docs: DataFrame, name: str, entries: int = ENTRIES) -> dict[str, int]:
     """The broadcast table: frequent pre-tokens of the whole table to their lengths in tokens."""
     counted = docs.select("text").mapInArrow(_frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(entries).toArrow()
+    stages = Stages(docs.sparkSession, "token-counts")
+    counted = stages.write(counted.withColumn("grade", F.floor(4 * F.log2("n")).cast("int")), "words")
+    # Whole grades of frequency, from the top, while they fit: no task has to merge all candidates.
+    least, room = 0, entries
+    for grade, size in sorted(((r["grade"], r["count"]) for r in counted.groupBy("grade").count().collect()), reverse=True):
+        room -= size
+        if room < 0:
+            least = grade + 1
+            break
+    top = counted.where(F.col("grade") >= least).toArrow()
+    stages.drop("words")
     tool = Counting(vocabulary(name), {})
     weight: Counter = Counter()
     for word, n in zip(top["word"].to_pylist(), top["n"].to_pylist()):
