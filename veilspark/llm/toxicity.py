@@ -275,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, test_fold: int = 2
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
-    """One row per input row: doc_id, score, margin, n_words, predicted.
+    """One row per input row: doc_id, score, margin, predicted.
 
     Null, empty and wordless texts have margin 0 and the score of an average text without evidence
     (below the threshold unless most training texts are toxic).  Repeated rows are scored alike; no
