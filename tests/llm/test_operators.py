@@ -111,6 +111,13 @@ def test_near_duplicates_edges(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "9", "9", "9", "9", "None"]
 
 
+def test_pair_that_twenty_tuples_miss(spark):
+    # 3 of 4 shingles in common: similarity 0.75 exactly
+    texts = ["case 195422 is one of the many rows", "case 195422 is one of the many"]
+    assert {r.component_id for r in near_dup.near_duplicates(docs_of(spark, texts)).collect()} == {0}
+    assert near_dup.keep_one(docs_of(spark, texts)).count() == 1
+
+
 def test_components_of_a_long_path(spark):
     from veilspark.llm.common import Stages
 

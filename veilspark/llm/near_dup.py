@@ -18,8 +18,8 @@ Steps, each of which reads what the one before wrote to the shared folder:
 5. components of both rounds give every row its ``component_id``.
 
 No step holds a whole group: stars and aggregates are combined map-side, hubs are salted, blocks
-have a fixed size.  With the defaults (3, 20) a pair at similarity 0.75 exactly meets in no table with
-probability 4e-5, one at 0.8 with 1e-6; a component is lost only if all its paths are.
+have a fixed size.  With the defaults (3, 24) a pair at similarity 0.75 exactly meets in no table with
+probability 4e-6, one at 0.8 with 7e-8; a component is lost only if all its paths are.
 """
 
 from __future__ import annotations
@@ -353,7 +353,7 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     return whole
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 20) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two documents are linked if 100 * |intersection| >= percent * |union| of their distinct word
@@ -373,7 +373,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 20) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
     """The rows of docs with one row for each group of near copies, all columns as they were.
 
     The row with the smallest id stays; of repeated rows with that id and shingle set, one.  Texts
