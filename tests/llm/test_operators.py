@@ -470,3 +470,44 @@ def test_ngram_margin_equals_plain_kneser_ney():
         expected = sum(np.log(p(1, g) / p(0, g)) for g in known if g[:-1] in {x[:-1] for x in types})
         data = np.frombuffer(t.encode(), np.uint8)
         assert model.margins(data, np.array([0, len(data)]))[0] * (len(t) + toxicity.DAMP) == pytest.approx(expected, abs=1e-9)
+
+
+def test_ngram_model_keeps_all_of_many_grams(spark):
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)) for _ in range(1200)]
+    y = [k % 2 for k in range(len(texts))]
+    pad, d = " " * (toxicity.ORDER - 1), toxicity.DISCOUNT
+    cut = lambda t: [(pad + t)[k : k + toxicity.ORDER] for k in range(len(t))]
+    counts = [Counter(g for t, label in zip(texts, y) if label == c for g in cut(t)) for c in (0, 1)]
+    types = {*counts[0], *counts[1]}
+    seen = Counter(g[-k:] for g in types for k in toxicity.CHAIN)
+    total, kinds = Counter(), Counter()
+    for s, n in seen.items():
+        total[len(s), s[:-1]] += n
+        kinds[len(s), s[:-1]] += 1
+    sums, follow = [Counter(), Counter()], [Counter(), Counter()]
+    for c in (0, 1):
+        for g, n in counts[c].items():
+            sums[c][g[:-1]] += n
+            follow[c][g[:-1]] += 1
+
+    def shared(g):
+        low = 1 / 256
+        for k in reversed(toxicity.CHAIN):
+            s, at = g[-k:], (k, g[-k:-1])
+            low = (max(seen[s] - d, 0) + d * kinds[at] * low) / total[at] if total[at] else low
+        return low
+
+    def p(c, g):
+        n = sums[c][g[:-1]]
+        return (max(counts[c][g] - d, 0) + d * follow[c][g[:-1]] * shared(g)) / n if n else shared(g)
+
+    docs = docs_of(spark, texts)
+    # One fold is counted, none is held out and none fits the curve.
+    labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, label int")
+    model = toxicity.train(docs.select("doc_id", "text"), labels, folds=1, test_fold=-1, curve_fold=-1)
+    data, offsets = textvec.string_column(pa.array(texts))
+    expected = [sum(np.log(p(1, g) / p(0, g)) for g in cut(t)) / (len(t) + toxicity.DAMP) for t in texts]
+    assert np.allclose(model.margins(data, offsets), expected, atol=1e-9)

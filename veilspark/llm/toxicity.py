@@ -2,8 +2,8 @@
 
 The n-grams (``ORDER`` bytes of lower-cased text, everything but letters and digits a space) of all
 labelled training texts are counted by class on the executors: a partial table for each task, then
-one hash aggregate, so what is gathered grows with the corpus.  From the exact counts a bounded
-model is kept: hash slots, each holding the heaviest n-gram, context or suffix that falls into it.
+one hash aggregate.  The exact counts of all distinct n-grams go to the driver, which adds up their
+contexts and suffixes; the model holds every one of them, so its size grows with their number.
 For class c, byte x and the bytes h before it
 
     P_c(x | h) = [max(n_c(hx) - D, 0) + D t_c(h) S(x | h')] / n_c(h)
@@ -32,9 +32,6 @@ ORDER = 4
 #: suffix lengths of the shared backoff chain, longest first
 CHAIN = (3, 2, 1)
 DISCOUNT = 1.5
-GRAM_SLOTS = 1 << 20
-CONTEXT_SLOTS = 1 << 18
-SUFFIX_SLOTS = 1 << 18
 BINS = 8192
 SPREAD = 1.0
 #: a text's margin is a sum over its bytes divided by their number plus this
@@ -105,10 +102,6 @@ _COUNTS = ["n0", "n1", "t0", "t1"]
 _CONTEXT = 0
 
 
-def _slots(kind: int) -> int:
-    return {_CONTEXT: CONTEXT_SLOTS, ORDER: GRAM_SLOTS}.get(kind, SUFFIX_SLOTS)
-
-
 def _slot(ids: np.ndarray, slots: int) -> np.ndarray:
     return (tv.mix(ids) % tv.U64(slots)).astype(np.int64)
 
@@ -120,39 +113,58 @@ def _roles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     one, zero = np.ones(len(gram), np.int64), np.zeros(len(gram), np.int64)
     parts = [(_CONTEXT, gram >> tv.U64(8), [n0, n1, (n0 > 0) * one, (n1 > 0) * one])]
     parts += [(k, _suffix(gram, k), [zero, zero, one, zero]) for k in CHAIN]
+    parts.append((ORDER, gram, [n0, n1, zero, zero]))
     for kind, ids, columns in parts:
-        ids, columns = _sums(ids, columns)
-        yield _row_batch(kind, _slot(ids, _slots(kind)), ids, columns)
-    slot = _slot(gram, GRAM_SLOTS)
-    order = np.lexsort((gram, -(n0 + n1), slot))
-    best = order[np.flatnonzero(np.r_[True, slot[order][1:] != slot[order][:-1]])]
-    yield _row_batch(ORDER, slot[best], gram[best], [n0[best], n1[best], zero[best], zero[best]])
-
-
-def _row_batch(kind: int, slot, ids, columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int64)), pa.array(slot), pa.array(ids.view(np.int64)), *map(pa.array, columns)], ["kind", "slot", "id", *_COUNTS])
+        yield _row_batch(kind, *_sums(ids, columns))
+
+
+def _row_batch(kind: int, ids, columns) -> pa.RecordBatch:
+    head = pa.array((ids >> tv.U64(8)).view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int64)), head, pa.array(ids.view(np.int64)), *map(pa.array, columns)], ["kind", "head", "id", *_COUNTS])
+
+
+class _Table:
+    """Every key with its number: most in hash slots, those whose slot another key holds in a sorted array."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, weights: np.ndarray):
+        slots = 1 << (2 * len(keys)).bit_length()
+        at, owner = _slot(keys, slots), np.full(slots, -1)
+        order = np.argsort(weights, kind="stable")
+        owner[at[order]] = order
+        held = owner[owner >= 0]
+        self.keys, self.values = np.full(slots, ~tv.U64(0)), np.zeros(slots)
+        self.keys[at[held]], self.values[at[held]] = keys[held], values[held]
+        rest = np.flatnonzero(owner[at] != np.arange(len(keys)))
+        rest = rest[np.argsort(keys[rest])]
+        self.rest, self.rest_values = keys[rest], values[rest]
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers, 0 for other keys, and where those stand."""
+        at = _slot(keys, len(self.keys))
+        out, other = self.values[at], np.flatnonzero(self.keys[at] != keys)
+        out[other] = 0
+        if len(self.rest) and len(other):
+            at = np.minimum(np.searchsorted(self.rest, keys[other]), len(self.rest) - 1)
+            known = self.rest[at] == keys[other]
+            out[other[known]] = self.rest_values[at[known]]
+            other = other[~known]
+        return out, other
 
 
 @dataclass
 class Model:
-    """Log ratios by slot: of n-grams that were seen, and of contexts whose next byte was not."""
+    """Log ratios: of n-grams that were seen, and of contexts whose next byte was not."""
 
-    gram: np.ndarray
-    gram_ratio: np.ndarray
-    context: np.ndarray
-    context_ratio: np.ndarray
+    gram: _Table
+    context: _Table
     slope: float = 0.0
     bias: float = -10.0
 
     def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mean log ratio of the two models for each row of a chunk; 0 for empty rows."""
         grams = _grams(data, offsets)
-        at = _slot(grams, GRAM_SLOTS)
-        ratio = self.gram_ratio[at]
-        new = np.flatnonzero(self.gram[at] != grams)
-        context = grams[new] >> tv.U64(8)
-        at = _slot(context, CONTEXT_SLOTS)
-        ratio[new] = np.where(self.context[at] == context, self.context_ratio[at], 0)
+        ratio, new = self.gram(grams)
+        ratio[new], _ = self.context(grams[new] >> tv.U64(8))
         return tv.row_sums(ratio, offsets) / (np.diff(offsets) + DAMP)
 
     def score(self, margins: np.ndarray) -> np.ndarray:
@@ -174,7 +186,7 @@ class _Lookup:
 
 
 def _build(kept: dict[int, tuple[np.ndarray, list[np.ndarray]]]) -> Model:
-    """Log ratios from the kept n-grams, contexts and suffixes: kind to (ids, n0, n1, t0, t1)."""
+    """Log ratios from all n-grams, contexts and suffixes: kind to (ids, n0, n1, t0, t1)."""
     grams, (n0, n1, *_) = kept[ORDER]
     contexts, context_counts = kept[_CONTEXT]
     shared = np.full(len(grams), 1 / 256)
@@ -189,15 +201,10 @@ def _build(kept: dict[int, tuple[np.ndarray, list[np.ndarray]]]) -> Model:
     ratio = np.zeros(len(grams))
     for n, c, t, sign in ((n0, c0, t0, -1), (n1, c1, t1, 1)):
         ratio += sign * np.log(np.where(c > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * t * shared) / np.maximum(c, 1), shared))
-    gram, gram_ratio = np.full(GRAM_SLOTS, ~tv.U64(0)), np.zeros(GRAM_SLOTS)
-    at = _slot(grams, GRAM_SLOTS)
-    gram[at], gram_ratio[at] = grams, ratio
+    gram = _Table(grams, ratio, n0 + n1)
     c0, c1, t0, t1 = (c.astype(float) for c in context_counts)
     back = sum(sign * np.log(np.where(c > 0, DISCOUNT * t / np.maximum(c, 1), 1)) for c, t, sign in ((c0, t0, -1), (c1, t1, 1)))
-    context, context_ratio = np.full(CONTEXT_SLOTS, ~tv.U64(0)), np.zeros(CONTEXT_SLOTS)
-    at = _slot(contexts, CONTEXT_SLOTS)
-    context[at], context_ratio[at] = contexts, back
-    return Model(gram, gram_ratio, context, context_ratio)
+    return Model(gram, _Table(contexts, back, c0 + c1))
 
 
 def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
@@ -254,14 +261,11 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, test_fold: int = 2
     rows = labelled(docs.where("text IS NOT NULL AND doc_id IS NOT NULL"), labels).select("doc_id", "text", "label")
     grams = rows.where(fold != curve_fold).select("text", "label").mapInArrow(_count, "gram long, n0 long, n1 long")
     grams = grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    roles = map_batches(grams, _roles, ", ".join(f"{c} long" for c in ["kind", "slot", "id", *_COUNTS]))
-    summed = roles.groupBy("kind", "slot", "id").agg(*[F.sum(c).alias(c) for c in _COUNTS])
-    # The heaviest of each slot: so many rows reach the driver at most, whatever the corpus.
-    best = summed.groupBy("kind", "slot").agg(F.max(F.struct((F.col("n0") + F.col("n1") + F.col("t0")).alias("weight"), "id", *_COUNTS)).alias("b"))
-    best = best.select("kind", "b.id", *[f"b.{c}" for c in _COUNTS]).toArrow()
-    kind, columns = np.asarray(best["kind"]), [np.asarray(best[c]) for c in ["id", *_COUNTS]]
-    del best
-    model = _build({k: (columns[0][kind == k].view(np.uint64), [c[kind == k] for c in columns[1:]]) for k in (_CONTEXT, *CHAIN, ORDER)})
+    counted = grams.toArrow()
+    batch = pa.RecordBatch.from_arrays([pa.array(np.asarray(counted[c])) for c in ("gram", "n0", "n1")], ["gram", "n0", "n1"])
+    del counted
+    roles = zip((_CONTEXT, *CHAIN, ORDER), _roles(batch), strict=True)
+    model = _build({k: (np.asarray(r["id"]).view(np.uint64), [np.asarray(r[c]) for c in _COUNTS]) for k, r in roles})
     shared = spark.sparkContext.broadcast(model)
     curve = rows.where(fold == curve_fold).select("text", "label").mapInArrow(_margin_rows(shared), "bin long, n0 long, n1 long")
     curve = curve.groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
