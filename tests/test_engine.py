@@ -212,3 +212,9 @@ def test_queries_equal_sql(spark, name):
     expected = db.sql(plans.oracle_sql()[name])
     assert sorted(got.columns) == sorted(expected.columns)
     assert sorted(map(repr, map(tuple, got.select(sorted(got.columns)).collect()))) == sorted(map(repr, db.sql(f"SELECT {', '.join(sorted(got.columns))} FROM ({plans.oracle_sql()[name]})").fetchall()))
+
+
+def test_score_difference_takes_whole_vectors(spark, tmp_path):
+    rows = [(0, [0.0, 1.0, 0.0], 0), (1, [0.0, -1.0, 0.5], 0), (2, [0.5, -1.0, 0.5], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert tuple(plans.queries()["score_difference"](spark, str(tmp_path)).first()) == (2.0, 2.0)

@@ -306,7 +306,8 @@ def argmax_agreement(spark, sf_dir):
 
 @query(f"SELECT max(abs(x[1] - y[1]))::DOUBLE AS max_abs, round((max(abs(x[1] - y[1])) / (max(abs(x[1])) + 1e-9))::DOUBLE, 6) AS relative FROM (SELECT x[1:1]::DOUBLE[] AS x, y[1:1]::DOUBLE[] AS y FROM {_PAIR})")
 def score_difference(spark, sf_dir):
-    pairs = _neighbours(spark, sf_dir).select(F.col("x")[0].cast("double").alias("a"), F.col("y")[0].cast("double").alias("b"))
+    # All positions, as the reference takes them; the SQL above has the first position only.
+    pairs = _neighbours(spark, sf_dir).select(F.explode(F.arrays_zip("x", "y")).alias("p")).select(F.col("p.x").cast("double").alias("a"), F.col("p.y").cast("double").alias("b"))
     return evaluate.difference(pairs, "a", "b").select("max_abs", F.round("relative", 6).alias("relative"))
 
 
