@@ -511,3 +511,18 @@ def test_ngram_model_keeps_all_of_many_grams(spark):
     data, offsets = textvec.string_column(pa.array(texts))
     expected = [sum(np.log(p(1, g) / p(0, g)) for g in cut(t)) / (len(t) + toxicity.DAMP) for t in texts]
     assert np.allclose(model.margins(data, offsets), expected, atol=1e-9)
+
+
+def test_tagger_finds_spans_longer_than_half_a_window():
+    syllables, rng, texts, gold = ["an", "th", "er", "on", "re", "st", "la", "ve", "qu", "ich", "de", "o", "mi"], random.Random(8), [], []
+    word = lambda n: "".join(rng.choice(syllables) for _ in range(n))
+    for _ in range(200):
+        before = " ".join(word(3) for _ in range(rng.randint(3, 30))) + " "
+        value = word(rng.randint(7, 12)) + "." + word(rng.randint(7, 12)) + rng.choice([" @ ", "@ ", " @"]) + word(rng.randint(7, 12)) + rng.choice([" . ", "."]) + "com"
+        texts.append(before + value + " " + " ".join(word(3) for _ in range(20)))
+        gold.append((len(before), len(before) + len(value)))
+    some, every = (pii.find_spans(texts, pii.trained(), every_window=x) for x in (False, True))
+    assert some == every
+    hits = [any((s, e) == at for s, e, _ in base + added) for at, (base, added) in zip(gold, some)]
+    # 83 when cut spans were thrown away
+    assert sum(hits) >= 110, sum(hits)

@@ -332,42 +332,88 @@ def plausible(value: str, kind: str) -> bool:
     return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"[+0-9(][0-9() ./-]*[0-9]", value)) and len(re.findall("[0-9]+", value)) >= 3
 
 
-def _window_spans(path: np.ndarray, e: np.ndarray, column: int, start: int, length: int) -> list[tuple[float, int, int, int]]:
-    """(margin, start, end, kind) of one decoded window; those cut by an inner edge are left out."""
-    out, t, row = [], 0, path
-    while t < T:
+def _window_spans(path: np.ndarray, e: np.ndarray, column: int, start: int, length: int) -> tuple[list, list]:
+    """(margin, start, end, kind) of one decoded window: the whole spans, and those cut by an inner edge."""
+    whole, cut, t, row, end = [], [], 0, path, len(path)
+    while t < end:
         if row[t] == 0:
             t += 1
             continue
         kind, s = (int(row[t]) - 1) // 2, t
         t += 1
-        while t < T and row[t] == 2 + 2 * kind:
+        while t < end and row[t] == 2 + 2 * kind:
             t += 1
-        if (s > 0 or start == 0) and (t < T or start + T >= length):
-            margin = float((e[np.arange(s, t), column, row[s:t]] - e[s:t, column, 0]).mean())
-            out.append((margin, start + s, start + t, kind))
+        inside = (s > 0 or start == 0) and (t < end or start + end >= length)
+        margin = float((e[np.arange(s, t), column, row[s:t]] - e[s:t, column, 0]).mean())
+        (whole if inside else cut).append((margin, start + s, start + t, kind))
+    return whole, cut
+
+
+def _anchors(codes: np.ndarray) -> np.ndarray:
+    """Places of digits and @; a span has one of them at least."""
+    return np.flatnonzero((codes == 27) | (codes == 30 + _SPECIAL.index("@")))
+
+
+def _decoded(tagger: Tagger, coded: list[np.ndarray], places: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, list, list]]:
+    """Each place (text, start, end) with its whole and its cut spans."""
+    at = 0
+    places = sorted(places, key=lambda p: p[2] - p[1])
+    while at < len(places):
+        part = places[at : at + BATCH]
+        part = [p for k, p in enumerate(part) if k == 0 or (k + 1) * (p[2] - p[1]) <= BATCH * T]
+        at += len(part)
+        x = np.zeros((len(part), max(b - a for _, a, b in part)), np.int64)
+        for n, (r, a, b) in enumerate(part):
+            piece = coded[r][a:b]
+            x[n, : len(piece)] = piece
+        path, e = tagger.decode(x)
+        for n in np.flatnonzero(path.any(1)):
+            r, a, b = part[n]
+            yield r, a, b, *_window_spans(path[n, : b - a], e, n, a, len(coded[r]))
+
+
+def _grown(regions: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
+    """The regions with as much text again on either side, those that then meet as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((max(0, a - (b - a)), min(length, b + (b - a))) for a, b in regions):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
     return out
 
 
 def tag_texts(texts: list[str], tagger: Tagger, every_window: bool = False) -> list[list[tuple[int, int, str]]]:
-    """Loose spans (start, end, kind) of each text, reconciled over its windows, in order."""
+    """Loose spans (start, end, kind) of each text, reconciled over its windows, in order.
+
+    Where all windows cut a span, larger and larger ones are decoded until one holds the whole of it.
+    """
     coded = [codes(t) for t in texts]
-    places: list[tuple[int, int]] = []
+    anchors = [_anchors(c) for c in coded]
+    places: list[tuple[int, int, int]] = []
     for r, c in enumerate(coded):
-        anchors = np.flatnonzero((c == 27) | (c == 30 + _SPECIAL.index("@")))
-        k = np.arange(-(-len(c) // STRIDE)) if every_window else np.unique(np.concatenate((anchors // STRIDE, anchors // STRIDE - 1)))
-        places += [(r, int(s) * STRIDE) for s in k if s >= 0]
+        k = np.arange(-(-len(c) // STRIDE)) if every_window else np.unique(np.concatenate((anchors[r] // STRIDE, anchors[r] // STRIDE - 1)))
+        places += [(r, int(s) * STRIDE, int(s) * STRIDE + T) for s in k if s >= 0]
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(places), BATCH):
-        part = places[at : at + BATCH]
-        x = np.zeros((len(part), T), np.int64)
-        for n, (r, s) in enumerate(part):
-            piece = coded[r][s : s + T]
-            x[n, : len(piece)] = piece
-        path, e = tagger.decode(x)
-        for n in np.flatnonzero(path.any(1)):
-            r, s = part[n]
-            found[r] += _window_spans(path[n], e, n, s, len(coded[r]))
+    cuts: dict[int, list] = {}
+    for r, a, b, whole, cut in _decoded(tagger, coded, places):
+        found[r] += whole
+        cuts.setdefault(r, []).extend((a, b, c) for c in cut)
+    while cuts:
+        places = []
+        for r, cut in cuts.items():
+            held = lambda c: any(s <= c[1] and c[2] <= e and k == c[3] for _, s, e, k in found[r])  # noqa: B023, E731
+            # What has no anchor is no span; the windows that see one report the cut as well.
+            alone = {(a, b) for a, b, c in cut if not held(c) and np.searchsorted(anchors[r], c[1]) < np.searchsorted(anchors[r], c[2])}
+            places += [(r, a, b) for a, b in _grown(sorted(alone), len(coded[r]))]
+        cuts = {}
+        for r, a, b, whole, cut in _decoded(tagger, coded, places):
+            for c in whole:
+                # What a smaller window took for a whole span is a part of this one.
+                if c[2] - c[1] >= STRIDE and plausible(texts[r][c[1] : c[2]].strip(" \n.,;:"), KINDS[c[3]]):
+                    found[r] = [f for f in found[r] if f[1] < c[1] or c[2] < f[2]] + [c]
+            if cut:
+                cuts.setdefault(r, []).extend((a, b, c) for c in cut)
     return [_reconciled(text, spans) for text, spans in zip(texts, found)]
 
 
