@@ -165,6 +165,16 @@ def test_decontamination_without_items(spark):
     assert [r.contaminated for r in decontaminate.digest(decontaminate.mark(docs_of(spark, ["a b", None]), none)).collect()] == [False, False]
 
 
+def test_benchmark_items_without_an_id_make_hits(spark):
+    bench = spark.createDataFrame([(None, "one two three"), (7, "four five six"), (None, "seven eight")], "item_id long, text string")
+    texts = ["so one two three", "four five six one two three seven eight", "four five six", "none"]
+    got = {r.doc_id: r for r in decontaminate.digest(decontaminate.mark(docs_of(spark, texts), bench)).collect()}
+    sha = lambda ids: hashlib.sha256(ids.encode()).hexdigest()
+    # As op7's SQL has it: null ids count as one item and are not among the ids.
+    expected = [(3, 1, sha(""), True), (8, 2, sha("7"), True), (3, 1, sha("7"), True), (0, 0, sha(""), False)]
+    assert [(got[k].n_hit, got[k].n_items, got[k].items_sha256, got[k].contaminated) for k in range(4)] == expected
+
+
 # ---------------------------------------------------------------- personal data
 
 RULES = {

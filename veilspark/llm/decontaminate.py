@@ -65,7 +65,11 @@ def item_windows(items: list[tuple[str, str | None]]) -> list[tuple[np.ndarray,
         n = min(WINDOW, len(words))
         for at in range(len(words) - n + 1 if n else 0):
             found.setdefault(words[at : at + n].tobytes(), set()).add(item)
-    return [(np.frombuffer(k, np.uint64), sorted(v)) for k, v in sorted(found.items())]
+    return [(np.frombuffer(k, np.uint64), _ordered(v)) for k, v in sorted(found.items())]
+
+
+def _ordered(ids: set) -> list:
+    return sorted(ids - {None}) + [None] * (None in ids)
 
 
 def _sizes(windows) -> list[int]:
@@ -109,12 +113,12 @@ class Index:
 
     probes: dict
     windows: list
-    items: list[str]
+    items: list[str | None]
 
 
 def build_index(windows, counts) -> Index:
     """Each window under its rarest shingle (the first of equals), with the shingle's place in it."""
-    names = sorted({i for _, ids in windows for i in ids})
+    names = _ordered({i for _, ids in windows for i in ids})
     number = {name: k for k, name in enumerate(names)}
     probes, all_items = {}, [[number[i] for i in ids] for _, ids in windows]
     for n in _sizes(windows):
@@ -165,11 +169,12 @@ def mark(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: st
 
     dc_hits is an array of [first word, end) of the words inside any window's occurrence; dc_items
     are the ids, as strings, of the items with occurring windows, sorted.  Null or empty texts and
-    items have no words and no windows.  Items of equal text are all reported.  An empty benchmark
+    items have no words and no windows.  Items of equal text are all reported.  Items with a
+    null id make hits like any other and are one null at the end of dc_items.  An empty benchmark
     marks nothing.  Columns of docs named like the three are replaced.
     """
     docs = docs.drop("dc_words", "dc_hits", "dc_items")
-    rows = items.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator()
+    rows = items.select(F.col(item_col).cast("string"), F.col(item_text).cast("string")).where(F.col(item_text).isNotNull()).toLocalIterator()
     windows = item_windows([(r[0], r[1]) for r in rows])
     counts = frequencies(docs, windows, text_col) if windows else {}
     columns, out = docs.columns, docs
@@ -199,7 +204,7 @@ def _marker(docs, windows, counts, columns, text_col, first_pass):
                 hits[r].append((s, s + n))
                 names[r].update(index.items[i] for i in index.windows[w])
             out = [batch.column(k).slice(a, b - a) for k in range(len(columns))]
-            out += [pa.array(np.diff(first).astype(np.int64)), pa.array([_merged(h) for h in hits], kind), pa.array([sorted(x) for x in names], pa.list_(pa.string()))]
+            out += [pa.array(np.diff(first).astype(np.int64)), pa.array([_merged(h) for h in hits], kind), pa.array([_ordered(x) for x in names], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays(out, [*columns, "dc_words", "dc_hits", "dc_items"])
 
     return run
