@@ -129,6 +129,14 @@ def test_components_of_a_long_path(spark):
     assert len(got) == 60 and {bytes(r.root) for r in got} == {key(0)}
 
 
+def test_components_of_a_path_in_order(spark):
+    from veilspark.llm.common import Stages
+
+    edges = spark.createDataFrame([(bytes([n]) * 16, bytes([n + 1]) * 16) for n in range(83)], "a binary, b binary").coalesce(1)
+    got = near_dup.components(Stages(spark, "test"), edges, "path").collect()
+    assert len(got) == 84 and {bytes(r.root) for r in got} == {bytes(16)}
+
+
 # ---------------------------------------------------------------- decontamination
 
 

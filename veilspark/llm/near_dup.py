@@ -24,6 +24,7 @@ probability 4e-6, one at 0.8 with 7e-8; a component is lost only if all its path
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,16 +137,16 @@ def _table_rows(tuples: int):
     return run
 
 
-def components(stages: Stages, edges: DataFrame, name: str, keep: int = 40) -> DataFrame:
+def components(stages: Stages, edges: DataFrame, name: str) -> DataFrame:
     """(node, root) for every node of the edges (a, b), by repeated contraction.
 
-    Each round maps every node to the smallest node next to it and contracts, so at least half of
-    the nodes of each component go; the rounds are logarithmic in the longest path.  Roots are the
-    smallest node of a component.
+    Each round maps every node to the smallest node next to it and contracts, until no edge is left.
+    The smallest node of a component always stays and is its root.  With nodes in random order, as
+    hashes are, the rounds are logarithmic in the longest path; a path in order loses two nodes a round.
     """
     edges = stages.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
     labels = None
-    for k in range(keep):
+    for k in itertools.count():
         if edges.isEmpty():
             break
         ends = edges.select(F.col("a").alias("node"), F.col("a").alias("to")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
