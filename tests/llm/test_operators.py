@@ -118,23 +118,66 @@ def test_pair_that_twenty_tuples_miss(spark):
     assert near_dup.keep_one(docs_of(spark, texts)).count() == 1
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("shuffled", [True, False])
+def test_components_of_a_long_path(spark, shuffled):
     from veilspark.llm.common import Stages
 
-    order = list(range(60))
-    random.Random(1).shuffle(order)
-    key = lambda n: bytes([n]) * 16
-    edges = spark.createDataFrame([(key(a), key(b)) for a, b in zip(order, order[1:])], "a binary, b binary")
-    got = near_dup.components(Stages(spark, "test"), edges, "path").collect()
-    assert len(got) == 60 and {bytes(r.root) for r in got} == {key(0)}
+    order = list(range(200))
+    if shuffled:
+        random.Random(1).shuffle(order)
+    edges = spark.createDataFrame([*zip(order, order[1:]), (500, 501), (501, 501)], "a long, b long").coalesce(1)
+    stages = Stages(spark, "test")
+    got = near_dup.components(stages, edges, "path").collect()
+    assert len(got) == 202 and len({r.root for r in got if r.node < 200}) == 1 and len({r.root for r in got}) == 2
+    assert sum(n.startswith("path-to-") for n in stages.names) <= 9
 
 
-def test_components_of_a_path_in_order(spark):
-    from veilspark.llm.common import Stages
+# ---------------------------------------------------------------- equality beyond hashes
+
+
+def thue_morse(n, first, second):
+    return "".join(second if bin(k).count("1") % 2 else first for k in range(n))
+
 
-    edges = spark.createDataFrame([(bytes([n]) * 16, bytes([n + 1]) * 16) for n in range(83)], "a binary, b binary").coalesce(1)
-    got = near_dup.components(Stages(spark, "test"), edges, "path").collect()
-    assert len(got) == 84 and {bytes(r.root) for r in got} == {bytes(16)}
+@pytest.mark.parametrize("n", [8, 64, 1024, 8192])
+def test_words_that_collide_under_a_polynomial_differ(n):
+    texts = [thue_morse(n, "a", "b"), thue_morse(n, "b", "a")]
+    ((_, _, data, offsets),) = textvec.chunks(pa.array(texts))
+    hashes, _ = textvec.word_hashes(data, offsets, textvec.NOT_SPACE)
+    assert hashes[0] != hashes[1] and len(set(textvec.word_keys(data, offsets, textvec.NOT_SPACE))) == 2
+
+
+def test_word_keys_are_of_words_alone():
+    texts = ["a b", " a\tb\n", "ab", "a  b c", None, "  ", "x", "y"]
+    ((_, _, data, offsets),) = textvec.chunks(pa.array(texts))
+    keys = textvec.word_keys(data, offsets, textvec.NOT_SPACE)
+    assert keys[0] == keys[1] and len({*keys}) == 6 and keys[4] is keys[5] is None
+
+
+def test_hash_does_not_depend_on_the_place():
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    seen = {}
+    for _ in range(3):
+        rng.shuffle(words)
+        ((_, _, data, offsets),) = textvec.chunks(pa.array([" ".join(words)]))
+        hashes, _ = textvec.word_hashes(data, offsets, textvec.NOT_SPACE)
+        assert all(seen.setdefault(w, h) == h for w, h in zip(words, hashes.tolist()))
+    assert len({*seen.values()}) == len(seen)
+
+
+def test_row_sums_depend_on_the_row_alone():
+    rng = np.random.default_rng(1)
+    row = rng.standard_normal(1001) * 1e6
+    values = np.concatenate([rng.standard_normal(777) * 1e12, row, row, rng.standard_normal(3)])
+    sums = textvec.row_sums(values, np.array([0, 0, 777, 1778, 1778, 2779, 2782, 2782]))
+    assert sums[2] == sums[4] and sums[0] == sums[3] == sums[6] == 0
+
+
+def test_near_duplicates_of_colliding_words(spark):
+    texts = [f"{thue_morse(n, x, y)} one two three four {n}" for n in (1024, 4096) for x, y in ("ab", "ba")]
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {k: k for k in range(4)}
 
 
 # ---------------------------------------------------------------- decontamination

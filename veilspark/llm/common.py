@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,19 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import remove_folder, shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one where none is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not path:
-        path = f"file://{tempfile.mkdtemp(prefix='veilspark-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
-        spark.sparkContext.setCheckpointDir(path)
-    return path.rstrip("/")
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    In local mode, where all share one machine, a temporary folder is made where none is set; on a
+    cluster that is an error, as executors would write to disks of their own.
+    """
+    return shared_folder(spark)
 
 
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -40,28 +40,33 @@ class Stages:
     """Tables written to the shared folder to cut lineage.
 
     A lost executor costs at most the stage that was running, since everything earlier is read
-    back from shared storage.  ``drop`` removes tables that nothing reads any more.
+    back from shared storage.  ``drop`` removes tables that nothing reads any more; what a lazy
+    result still reads goes when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         bound_batches(spark)
-        self.spark = spark
+        self.spark, self.names = spark, set()
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
+        atexit.register(self._end)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
         for name in names:
-            path = f"{self.root}/{name}"
-            if path.startswith("file:/"):
-                shutil.rmtree("/" + path[5:].lstrip("/"), ignore_errors=True)
-            else:
-                jvm = self.spark._jvm
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+            remove_folder(self.spark, f"{self.root}/{name}")
+            self.names.discard(name)
+
+    def drop_all_but(self, *names: str) -> None:
+        self.drop(*(self.names - set(names)))
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):
+            remove_folder(self.spark, self.root)
 
 
 def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

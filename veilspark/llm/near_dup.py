@@ -1,44 +1,60 @@
 """MinHash near-duplicate classes by tensored banding, confirmed on full shingle sets.
 
-Two small collections of minhash tuples are computed for every distinct shingle set: ``tuples``
-left ones and as many right ones, each of ``width`` minhashes.  Each (left, right) pair is the key
-of one table, so ``tuples ** 2`` tables come from ``2 * tuples * width`` minhashes, about the
-square root of what independent bands would need.  Table keys are made lazily: only left tuples
-that two different sets share are combined with right tuples.
-
-Steps, each of which reads what the one before wrote to the shared folder:
-
-1. every row gets the 128-bit hash of its set; equal sets are one class from here on;
+Two small collections of minhash tuples are computed for every distinct text: ``tuples`` left ones
+and as many right ones, each of ``width`` minhashes.  Each (left, right) pair is the key of one
+table, so ``tuples ** 2`` tables come from ``2 * tuples * width`` minhashes, about the square root of
+what independent bands would need.  Table keys are made lazily: only left tuples that two different
+texts share are combined with right tuples.
+
+A class is one word sequence, named by a 128-bit cryptographic hash of its lower-cased words; only
+rows of equal words are taken as equal without a comparison.  Texts of equal sets and different
+words share all tables and are confirmed like any other pair.  Steps, each of which reads what the
+one before wrote to the shared folder:
+
+1. rows become classes, each with a number of its own;
 2. classes that share a table key are tied to the smallest class of that key (a star, never all
-   pairs), and each tie is confirmed on full sets;
+   pairs), and each tie is confirmed on full sets.  Of left tuples or tables with the same members
+   one is enough, so the tables of a group of copies do not multiply;
 3. confirmed ties are contracted to components;
 4. keys that still hold several components and three classes or more could hide a link between
-   two non-hub members.  Their classes are tied into tangles, each tangle is cut into blocks, and
-   block pairs compare exactly the pairs that share a table key and are not yet connected;
+   two non-hub members.  Their classes are tied into tangles.  A tangle of up to ``TANGLE`` classes
+   is cut into blocks and block pairs are compared; a larger one is compared table by table, so
+   only classes that share a table key meet.  Compared are pairs that share a table key and are not
+   yet connected;
 5. components of both rounds give every row its ``component_id``.
 
 No step holds a whole group: stars and aggregates are combined map-side, hubs are salted, blocks
-have a fixed size.  With the defaults (3, 24) a pair at similarity 0.75 exactly meets in no table with
-probability 4e-6, one at 0.8 with 7e-8; a component is lost only if all its paths are.
+have a fixed size in rows and bytes, classes with very many rows are joined by a broadcast of bounded
+size.  With the defaults (3, 24) a pair at similarity 0.75 exactly meets in no table with probability
+4e-6, one at 0.8 with 7e-8; a component is lost only if all its paths are.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textvec as tv
 from .common import Stages, keyed_text, map_batches, release, schema_of
 
 SALTS = 64
-BLOCK = 128
+#: classes and shingles of a block, about
+BLOCK, BLOCK_SHINGLES = 128, 1 << 20
+#: classes of a tangle that is compared block by block, so a class is copied TANGLE / BLOCK times at most
+TANGLE = 4096
 SEND = 200_000
-BLOOM_BITS = 1 << 24
+#: rounds of contraction whose maps are joined at once
+ROUNDS = 6
+#: sizes of the broadcast bit tables: sixteen bits for each key, at least and at most so many (32 MB)
+LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
+#: a class is broadcast if it has at least so many rows, and at least one in HOT_SHARE of all rows
+HOT_ROWS, HOT_SHARE = 10_000, 20_000
 
 
 def _coefficients(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,20 +86,16 @@ def tuple_hashes(values: np.ndarray, first: np.ndarray, width: int, tuples: int)
     return out
 
 
-def set_keys(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """rows x 2 uint64: a 128-bit hash of each set, whatever the order."""
-    out = np.empty((len(first) - 1, 2), np.uint64)
-    for k, salt in enumerate((0x243F6A8885A308D3, 0x13198A2E03707344)):
-        total = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(tv.mix(values ^ tv.U64(salt)), out=total[1:])
-        out[:, k] = tv.mix(total[first[1:]] - total[first[:-1]] + np.diff(first).astype(np.uint64))
-    return out
+def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[bytes | None], np.ndarray, np.ndarray]]:
+    """For each chunk its rows, their keys, the sets' shingles and each set's first."""
+    for a, b, data, offsets in tv.chunks(column):
+        data = tv.LOWER[data]
+        hashes, first = tv.word_hashes(data, offsets, tv.NOT_SPACE)
+        yield a, b, tv.word_keys(data, offsets, tv.NOT_SPACE), *tv.shingles(hashes, first, size)
 
 
-def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    for a, b, data, offsets in tv.chunks(column):
-        hashes, first = tv.word_hashes(tv.LOWER[data], offsets, tv.NOT_SPACE)
-        yield a, b, *tv.shingles(hashes, first, size)
+def _keys(column: pa.Array) -> list[bytes | None]:
+    return [k for _, _, data, offsets in tv.chunks(column) for k in tv.word_keys(tv.LOWER[data], offsets, tv.NOT_SPACE)]
 
 
 def _fixed(matrix: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
@@ -99,75 +111,126 @@ def _matrix(column: pa.Array, kind, width: int) -> np.ndarray:
     return tv.string_column(column)[0].view(kind).reshape(-1, width)
 
 
-def signed_rows(docs: DataFrame, shingle: int, width: int, tuples: int, carry: list[str] | None = None) -> DataFrame:
-    """The carried columns plus ``nd_key`` (null without words), ``nd_n`` and ``nd_sig``; needs a column ``nd_text``."""
-    carry = [c for c in docs.columns if c != "nd_text"] if carry is None else carry
-    sign = tuples > 0
+def signed_rows(docs: DataFrame, shingle: int, width: int, tuples: int) -> DataFrame:
+    """(doc_id, nd_key, nd_n, nd_sig) of (doc_id, nd_text); nd_key and nd_sig are null without words."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for a, b, values, first in _sets(batch.column(batch.schema.get_field_index("nd_text")), shingle):
+        for a, b, keys, values, first in _sets(batch.column(1), shingle):
             n = np.diff(first)
-            out = [batch.column(batch.schema.get_field_index(c)).slice(a, b - a) for c in carry]
-            out += [_fixed(set_keys(values, first), n == 0), pa.array(n.astype(np.int64))]
-            if sign:
-                out.append(_fixed(tuple_hashes(values, first, width, tuples), n == 0))
-            yield pa.RecordBatch.from_arrays(out, [*carry, "nd_key", "nd_n", *["nd_sig"] * sign])
+            sig = _fixed(tuple_hashes(values, first, width, tuples), n == 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(keys, pa.binary()), pa.array(n.astype(np.int64)), sig], ["doc_id", "nd_key", "nd_n", "nd_sig"])
+
+    return map_batches(docs.select("doc_id", "nd_text"), run, schema_of(docs, ["doc_id"], "nd_key binary, nd_n long, nd_sig binary"))
 
-    return map_batches(docs.select(*carry, "nd_text"), run, schema_of(docs, carry, "nd_key binary, nd_n long" + ", nd_sig binary" * sign))
 
+def _left_rows(tuples: int, gate: Gate | None = None):
+    """(nid, signature) to (left hash, nid); with a gate only the left hashes that pass it."""
 
-def _left_rows(tuples: int):
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        key = batch.column(0)
-        left = _matrix(batch.column(1), np.int64, 2 * tuples)[:, :tuples]
-        yield pa.RecordBatch.from_arrays([pa.array(left.ravel()), key.take(pa.array(np.repeat(np.arange(len(key)), tuples)))], ["part", "nd_key"])
+        nid = np.asarray(batch.column(0))
+        left = _matrix(batch.column(1), np.int64, 2 * tuples)[:, :tuples].ravel()
+        owner = np.repeat(nid, tuples)
+        if gate is not None:
+            ok = gate.passes(_long_probes(left))
+            left, owner = left[ok], owner[ok]
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(owner)], ["part", "nid"])
 
     return run
 
 
 def _table_rows(tuples: int):
-    """(left hash, class, signature) to one row for each table of that left tuple."""
+    """(left hash, nid, signature) to (table key, nid), one row for each table of that left tuple."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        left = np.asarray(batch.column(0)).view(np.uint64)
+        left, nid = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
         right = _matrix(batch.column(2), np.uint64, 2 * tuples)[:, tuples:]
         at = tv.mix(left[:, None] * tv.U64(3) + right).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), batch.column(1).take(pa.array(np.repeat(np.arange(len(left)), tuples)))], ["at", "nd_key"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.repeat(nid, tuples))], ["at", "nid"])
 
     return run
 
 
 def components(stages: Stages, edges: DataFrame, name: str) -> DataFrame:
-    """(node, root) for every node of the edges (a, b), by repeated contraction.
+    """(node, root) for every node of the edges (a, b) of longs not below 0, by repeated contraction.
 
-    Each round maps every node to the smallest node next to it and contracts, until no edge is left.
-    The smallest node of a component always stays and is its root.  With nodes in random order, as
-    hashes are, the rounds are logarithmic in the longest path; a path in order loses two nodes a round.
+    Each round maps every node to the least node next to it, then to where that one went, until no
+    edge is left.  What is least changes from round to round (the order of ``node XOR c``), so nodes
+    in order, as along a path, are contracted as fast as nodes in random order.  A root is one node
+    of its component.
     """
+    orders = np.random.default_rng(31).integers(0, 1 << 62, 64).tolist()
     edges = stages.write(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-edges-0")
-    labels = None
+    labels, hops = None, []
+
+    def moved(labels: DataFrame | None, hops: list[DataFrame]) -> DataFrame:
+        for hop in hops:
+            if labels is None:
+                labels = hop.select("node", F.col("to").alias("root"))
+            else:
+                labels = labels.join(hop.select(F.col("node").alias("root"), "to"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        return labels
+
     for k in itertools.count():
         if edges.isEmpty():
             break
-        ends = edges.select(F.col("a").alias("node"), F.col("a").alias("to")).unionAll(edges.select(F.col("b").alias("node"), F.col("a").alias("to")))
-        to = stages.write(ends.groupBy("node").agg(F.min("to").alias("to")), f"{name}-to-{k}")
+        order = F.lit(orders[k % len(orders)])
+        least = F.least(F.col("a").bitwiseXOR(order), F.col("b").bitwiseXOR(order)).alias("to")
+        ends = edges.select(F.col("a").alias("node"), least).unionAll(edges.select(F.col("b").alias("node"), least))
+        to = stages.write(ends.groupBy("node").agg(F.min("to").bitwiseXOR(order).alias("to")), f"{name}-to-{k}")
         hop = to.select(F.col("node").alias("to"), F.col("to").alias("root"))
         to = stages.write(to.join(hop, "to").select("node", F.col("root").alias("to")), f"{name}-hop-{k}")
-        if labels is None:
-            labels = to.select("node", F.col("to").alias("root"))
-        else:
-            hop = to.select(F.col("node").alias("root"), "to")
-            labels = labels.join(hop, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        labels = stages.write(labels, f"{name}-labels-{k}")
+        hops.append(to)
+        if len(hops) == ROUNDS:
+            labels, hops = stages.write(moved(labels, hops), f"{name}-labels-{k}"), []
         a = to.select(F.col("node").alias("a"), F.col("to").alias("ra"))
         b = to.select(F.col("node").alias("b"), F.col("to").alias("rb"))
-        moved = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-        edges = stages.write(moved, f"{name}-edges-{k + 1}")
+        rest = edges.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        edges = stages.write(rest, f"{name}-edges-{k + 1}")
+    if hops:
+        labels = stages.write(moved(labels, hops), f"{name}-labels")
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _bloom(spark: SparkSession, keys: DataFrame, bits: int):
-    """A broadcast bit table of fixed size with the 128-bit keys; a pass may be false, a miss never is."""
+def _long_probes(values: np.ndarray) -> np.ndarray:
+    h = tv.mix(np.asarray(values).view(np.uint64))
+    return np.stack((h, tv.mix(h + tv.U64(1))), 1)
+
+
+def _key_probes(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+
+
+@dataclass
+class Gate:
+    """A broadcast bit table of some keys: a pass may be false, a refusal never is."""
+
+    shared: object
+    bits: int
+
+    def passes(self, probes: np.ndarray) -> np.ndarray:
+        k = probes % tv.U64(self.bits)
+        return ((self.shared.value[(k >> tv.U64(3)).astype(np.int64)] >> (k & tv.U64(7)).astype(np.uint8)) & 1).all(1)
+
+    def keep(self, df: DataFrame, column: str) -> DataFrame:
+        """The rows of df whose long in that column passes."""
+        at = df.columns.index(column)
+
+        def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            ok = self.passes(_long_probes(np.asarray(batch.column(at))))
+            if ok.any():
+                yield batch.filter(pa.array(ok))
+
+        return map_batches(df, run, df.schema)
+
+
+def gate_of(keys: DataFrame) -> Gate:
+    """The gate of the one column of keys, long or 128-bit binary; its size follows their number up to a bound.
+
+    Beyond the bound more rows pass falsely, which costs time and never a result.
+    """
+    bits = min(max(LEAST_BITS, 1 << (16 * keys.count()).bit_length()), MOST_BITS)
+    binary = keys.dtypes[0][1] == "binary"
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
@@ -175,8 +238,9 @@ def _bloom(spark: SparkSession, keys: DataFrame, bits: int):
         table = np.zeros(bits // 8, np.uint8)
         for batch in batches:
             if batch.num_rows:
-                k = _matrix(batch.column(0), np.uint64, 2) % tv.U64(bits)
-                np.bitwise_or.at(table, (k >> tv.U64(3)).astype(np.int64).ravel(), (1 << (k & tv.U64(7))).astype(np.uint8).ravel())
+                probes = _key_probes(batch.column(0).to_pylist()) if binary else _long_probes(np.asarray(batch.column(0)))
+                k = (probes % tv.U64(bits)).ravel()
+                np.bitwise_or.at(table, (k >> tv.U64(3)).astype(np.int64), (1 << (k & tv.U64(7))).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(table.tobytes(), 1)])], ["bits"])
 
     import zlib
@@ -184,28 +248,30 @@ def _bloom(spark: SparkSession, keys: DataFrame, bits: int):
     table = np.zeros(bits // 8, np.uint8)
     for row in keys.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         table |= np.frombuffer(zlib.decompress(row[0]), np.uint8)
-    return spark.sparkContext.broadcast(table)
+    return Gate(keys.sparkSession.sparkContext.broadcast(table), bits)
 
 
-def _full_sets(docs: DataFrame, bloom, bits: int, shingle: int) -> DataFrame:
-    """(nd_key, nd_set) of the rows whose class passes the bit table; copies within a task once."""
+def _full_sets(docs: DataFrame, gate: Gate, shingle: int) -> DataFrame:
+    """(nd_key, nd_set) of the rows whose class passes the gate; copies within a task once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, seen = bloom.value, set()
+        seen = set()
         for batch in batches:
-            for _, _, values, first in _sets(batch.column(0), shingle) if batch.num_rows else ():
-                keys = set_keys(values, first)
-                k = keys % tv.U64(bits)
-                ok = ((table[(k >> tv.U64(3)).astype(np.int64)] >> (k & tv.U64(7)).astype(np.uint8)) & 1).all(1) & (np.diff(first) > 0)
-                out = []
-                for r in np.flatnonzero(ok):
-                    if (key := keys[r].tobytes()) not in seen:
-                        seen.add(key)
-                        out.append((key, values[first[r] : first[r + 1]].tobytes()))
-                if len(seen) > 500_000:
-                    seen.clear()
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary()) for i in (0, 1)], ["nd_key", "nd_set"])
+            keys = _keys(batch.column(0))
+            some = [r for r, k in enumerate(keys) if k is not None]
+            if not some:
+                continue
+            some = np.array(some)[gate.passes(_key_probes([keys[r] for r in some]))].tolist()
+            new = []
+            for r in some:
+                if keys[r] not in seen:
+                    seen.add(keys[r])
+                    new.append(r)
+            if len(seen) > 500_000:
+                seen.clear()
+            for _, _, own, values, first in _sets(batch.column(0).take(pa.array(new, pa.int64())), shingle):
+                sets = [values[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array(sets, pa.binary())], ["nd_key", "nd_set"])
         release()
 
     return docs.select("nd_text").mapInArrow(run, "nd_key binary, nd_set binary")
@@ -236,7 +302,7 @@ def _confirm_stars(percent: int):
                 elif key == hub and similar(hub_set, values, percent):
                     a.append(key)
                     b.append(member)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
         release()
 
     return run
@@ -246,9 +312,9 @@ def confirm_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The ties (hub, member) whose full sets are similar enough."""
     salted = stars.select("hub", "member", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt"))
     hubs = salted.select("hub", F.col("hub").alias("member"), "salt").distinct()
-    rows = salted.unionAll(hubs).join(sets.withColumnRenamed("nd_key", "member"), "member")
+    rows = salted.unionAll(hubs).join(sets.withColumnRenamed("nid", "member"), "member")
     rows = rows.repartition(F.col("hub"), F.col("salt")).sortWithinPartitions("hub", "salt", (F.col("hub") != F.col("member")))
-    return rows.select("hub", "member", "nd_set").mapInArrow(_confirm_stars(percent), "a binary, b binary")
+    return rows.select("hub", "member", "nd_set").mapInArrow(_confirm_stars(percent), "a long, b long")
 
 
 def _block_links(percent: int, tuples: int):
@@ -257,7 +323,7 @@ def _block_links(percent: int, tuples: int):
     def run(frame):
         sig = np.stack([np.frombuffer(x, np.uint64) for x in frame["nd_sig"]])
         sets = [np.frombuffer(x, np.uint64) for x in frame["nd_set"]]
-        keys, side, root = frame["nd_key"].tolist(), frame["block"].to_numpy(), frame["root"].tolist()
+        keys, side, root = frame["nid"].tolist(), frame["block"].to_numpy(), frame["root"].tolist()
         parent = {r: r for r in root}
 
         def find(x):
@@ -284,7 +350,7 @@ def _block_links(percent: int, tuples: int):
                     b.append(keys[j])
         import pandas as pd
 
-        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"])
+        return pd.DataFrame({"a": a, "b": b}, columns=["a", "b"], dtype="int64")
 
     return run
 
@@ -295,65 +361,134 @@ def _sent(stages: Stages, df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.limit(SEND + 1).count() <= SEND else df
 
 
+def _distinct_groups(rows: DataFrame, key: str) -> DataFrame:
+    """(key, lo, hi, n) of the groups with two members or more; of groups with the same members one."""
+    groups = rows.groupBy(key).agg(F.min("nid").alias("lo"), F.max("nid").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("y"))
+    return groups.where("lo <> hi").groupBy("lo", "hi", "n", "x", "y").agg(F.min(key).alias(key)).select(key, "lo", "hi", "n")
+
+
 def _resolve_tangles(stages: Stages, at: DataFrame, stars: DataFrame, links: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
     """Links between components that meet in a table key of three classes or more.
 
-    A key is mixed only if one of its ties was not confirmed and still joins two components.
+    at has (at, hub, nid) of those tables.  A key is mixed only if one of its ties was not confirmed
+    and still joins two components.
     """
     open_ties = stars.join(links.select(F.col("a").alias("hub"), F.col("b").alias("member")), ["hub", "member"], "left_anti")
     roots = labels.select("node", "root")
     open_ties = open_ties.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("ra")), "hub", "left")
     open_ties = open_ties.join(roots.select(F.col("node").alias("member"), F.col("root").alias("rb")), "member", "left")
-    open_ties = open_ties.where(F.coalesce("ra", "hub") != F.coalesce("rb", "member")).select("hub", F.col("member").alias("nd_key"))
-    larger = at.where("n > 2")
-    mixed = larger.join(_sent(stages, open_ties, "open"), ["hub", "nd_key"]).select("at").distinct()
-    ties = larger.join(_sent(stages, mixed, "mixed"), "at").select(F.col("hub").alias("a"), F.col("nd_key").alias("b")).distinct()
-    ties = stages.write(ties, "ties")
-    tangle = components(stages, ties.select("a", "b"), "tangle")
-    members = tangle.select(F.col("node").alias("nd_key"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nd_key"), "nd_key", "left").select("nd_key", "tangle", F.coalesce("root", "nd_key").alias("root"))
-    members = stages.write(members, "members")
-    blocks = members.groupBy("tangle").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("long").alias("blocks"))
-    blocks = stages.write(blocks, "blocks")
-    placed = members.join(blocks, "tangle").withColumn("block", F.pmod(F.xxhash64("nd_key"), F.col("blocks")))
-    placed = placed.join(classes.select("nd_key", "nd_sig"), "nd_key").join(sets, "nd_key")
+    open_ties = _sent(stages, open_ties.where(F.coalesce("ra", "hub") != F.coalesce("rb", "member")).select("hub", F.col("member").alias("nid")), "open")
+    if open_ties.isEmpty():
+        return open_ties.select(F.col("hub").alias("a"), F.col("nid").alias("b"))
+    mixed = at.join(open_ties, ["hub", "nid"], "left_semi").select("at").distinct()
+    mixed = stages.write(at.join(_sent(stages, mixed, "mixed"), "at").select("at", "hub", "nid"), "mixed-at")
+    tangle = components(stages, mixed.select(F.col("hub").alias("a"), F.col("nid").alias("b")), "tangle")
+    members = tangle.select(F.col("node").alias("nid"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "tangle", F.coalesce("root", "nid").alias("root"))
+    members = stages.write(members.join(sets, "nid").withColumn("size", F.octet_length("nd_set") / 8), "members")
+    size = members.groupBy("tangle").agg(F.count("*").alias("held"))
+    wide = stages.write(size.where(F.col("held") > TANGLE).select("tangle"), "wide")
+    narrow = members.join(wide, "tangle", "left_anti").select(F.struct(F.lit(0).alias("kind"), F.col("tangle").alias("key")).alias("cell"), "nid", "size")
+    tables = mixed.join(members.join(wide, "tangle", "left_semi").select("nid", "size"), "nid").select(F.struct(F.lit(1).alias("kind"), F.col("at").alias("key")).alias("cell"), "nid", "size")
+    cells = stages.write(narrow.unionAll(tables), "cells")
+    blocks = cells.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("long").alias("blocks"))
+    placed = cells.join(stages.write(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("*", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    return dealt.groupBy("tangle", "lo", "hi").applyInPandas(_block_links(percent, tuples), "a binary, b binary")
+    dealt = placed.select("cell", "nid", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.join(members.select("nid", "root", "nd_set"), "nid").join(classes.select("nid", "nd_sig"), "nid")
+    return dealt.groupBy("cell", "lo", "hi").applyInPandas(_block_links(percent, tuples), "a long, b long")
 
 
 def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle: int, percent: int, width: int, tuples: int) -> DataFrame:
-    """(nd_key, component_id) of every class; rows has doc_id, nd_key, nd_n, nd_sig of every row."""
-    spark = docs.sparkSession
-    classes = rows.where("nd_key IS NOT NULL").groupBy("nd_key").agg(F.min("doc_id").alias("least_id"), F.first("nd_sig").alias("nd_sig"))
-    classes = stages.write(classes, "classes")
-    left = map_batches(classes.select("nd_key", "nd_sig"), _left_rows(tuples), "part long, nd_key binary")
-    shared = left.groupBy("part").agg(F.min(F.xxhash64("nd_key")).alias("lo"), F.max(F.xxhash64("nd_key")).alias("hi")).where("lo <> hi").select("part")
+    """(nd_key, held, component_id, nd_linked) of every class: its rows, the smallest id that links reach, whether it has any.
+
+    rows has doc_id, nd_key, nd_n, nd_sig of every row.
+    """
+    classes = rows.where("nd_key IS NOT NULL").groupBy("nd_key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("held"), F.first("nd_sig").alias("nd_sig"))
+    classes = stages.write(classes.withColumn("nid", F.monotonically_increasing_id()), "classes")
+    signed = classes.select("nid", "nd_sig")
+    left = map_batches(signed, _left_rows(tuples), "part long, nid long")
+    shared = left.groupBy("part").agg(F.min("nid").alias("lo"), F.max("nid").alias("hi")).where("lo <> hi").select("part")
     shared = stages.write(shared, "shared")
-    live = stages.write(left.join(shared, "part"), "live").join(classes.select("nd_key", "nd_sig"), "nd_key").select("part", "nd_key", "nd_sig")
-    at = stages.write(map_batches(live, _table_rows(tuples), "at long, nd_key binary"), "at")
-    tables = stages.write(at.groupBy("at").agg(F.min("nd_key").alias("hub"), F.max("nd_key").alias("hi"), F.count("*").alias("n")).where("hub <> hi").select("at", "hub", "n"), "tables")
-    at = stages.write(at.join(tables, "at"), "at-shared")
-    stages.drop("at")
-    stars = stages.write(at.where("hub <> nd_key").select("hub", F.col("nd_key").alias("member")).distinct(), "stars")
-    involved = stars.select(F.col("hub").alias("nd_key")).unionAll(stars.select("member"))
-    bloom = _bloom(spark, involved, BLOOM_BITS)
-    sets = stages.write(_full_sets(docs, bloom, BLOOM_BITS, shingle).groupBy("nd_key").agg(F.first("nd_set").alias("nd_set")), "sets")
+    if shared.isEmpty():
+        return classes.select("nd_key", "held", F.col("least_id").alias("component_id"), F.lit(False).alias("nd_linked"))
+    gates = [gate_of(shared)]
+    live = map_batches(signed, _left_rows(tuples, gates[0]), "part long, nid long").join(shared, "part")
+    live = stages.write(live, "live")
+    live = stages.write(live.join(_sent(stages, _distinct_groups(live, "part").select("part"), "parts"), "part").select("part", "nid"), "live-parts")
+    gates.append(gate_of(live.select("nid")))
+    at = map_batches(live.join(gates[1].keep(signed, "nid"), "nid").select("part", "nid", "nd_sig"), _table_rows(tuples), "at long, nid long")
+    at = stages.write(at, "at")
+    tables = stages.write(_distinct_groups(at, "at").withColumnRenamed("lo", "hub"), "tables")
+    larger = stages.write(at.join(_sent(stages, tables.where("n > 2").select("at", "hub"), "larger"), "at").select("at", "hub", "nid"), "at-shared")
+    stages.drop("shared", "live", "parts", "live-parts", "at", "larger")
+    stars = tables.where("n = 2").select("hub", F.col("hi").alias("member")).unionAll(larger.where("hub <> nid").select("hub", F.col("nid").alias("member")))
+    stars = stages.write(stars.distinct(), "stars")
+    involved = stages.write(stars.select(F.col("hub").alias("nid")).unionAll(stars.select("member")).distinct().join(classes.select("nid", "nd_key"), "nid"), "involved")
+    gates.append(gate_of(involved.select("nd_key")))
+    sets = _full_sets(docs, gates[2], shingle).groupBy("nd_key").agg(F.first("nd_set").alias("nd_set"))
+    sets = stages.write(sets.join(involved, "nd_key").select("nid", "nd_set"), "sets")
     links = stages.write(confirm_stars(stars, sets, percent), "links")
     labels = components(stages, links, "star")
-    more = stages.write(_resolve_tangles(stages, at, stars, links, labels, classes, sets, percent, tuples), "more")
+    more = stages.write(_resolve_tangles(stages, larger, stars, links, labels, classes, sets, percent, tuples), "more")
     if not more.isEmpty():
         labels = components(stages, links.unionAll(more), "all")
-    least = classes.select("nd_key", "least_id")
-    known = labels.select(F.col("node").alias("nd_key"), "root").join(least, "nd_key")
-    smallest = stages.write(known.groupBy("root").agg(F.min("least_id").alias("component_id")), "smallest")
-    linked = stages.write(known.join(smallest, "root").select("nd_key", "component_id"), "linked")
-    whole = least.join(linked, "nd_key", "left").select("nd_key", F.when(F.col("component_id").isNotNull(), F.col("component_id")).otherwise(F.col("least_id")).alias("component_id"))
-    whole = stages.write(whole, "components")
-    stages.drop("classes", "shared", "live", "tables", "at-shared", "stars", "sets", "links", "open", "mixed", "ties", "members", "blocks", "more", "smallest", "linked")
-    bloom.destroy()
+    own = classes.select("nid", "nd_key", "held", "least_id")
+    known = stages.write(labels.select(F.col("node").alias("nid"), "root").join(own, "nid"), "known")
+    smallest = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    # One root may hold a third of all classes; then AQE splits its partition of this join.
+    linked = known.join(smallest, "root").select("nid", "component_id")
+    whole = own.join(linked.withColumn("nd_linked", F.lit(True)), "nid", "left")
+    component = F.when(F.col("nd_linked"), F.col("component_id")).otherwise(F.col("least_id"))
+    whole = stages.write(whole.select("nd_key", "held", component.alias("component_id"), F.coalesce("nd_linked", F.lit(False)).alias("nd_linked")), "components")
+    stages.drop_all_but("components", "rows")
+    for gate in gates:
+        gate.shared.destroy()
     return whole
 
 
+def _split_hot(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The classes with very many rows, hinted for broadcast (at most HOT_SHARE of them), and the others."""
+    least = max(HOT_ROWS, (whole.agg(F.sum("held")).first()[0] or 0) // HOT_SHARE)
+    return F.broadcast(whole.where(F.col("held") >= least)), whole.where(F.col("held") < least)
+
+
+def _gated_rows(docs: DataFrame, id_col: str, text_col: str, gate: Gate, hot: DataFrame) -> DataFrame:
+    """docs plus ``nd_key``: the class where it passes the gate, else null.
+
+    Of the classes with very many rows, which hot has, only rows with the id that stays go on, and a
+    task sends rows of equal class and id once, so no copy is shuffled a million times.
+    """
+    stays = docs.sparkSession.sparkContext.broadcast({bytes(r["nd_key"]): r["component_id"] for r in hot.collect()})
+    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    as_text = not dict(docs.dtypes)[text_col].startswith(("string", "binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text = batch.column(text_at)
+            keys = _keys(text.cast(pa.string()) if as_text else text)
+            some = [r for r, k in enumerate(keys) if k is not None]
+            ok = gate.passes(_key_probes([keys[r] for r in some])) if some else ()
+            out, keep = [None] * len(keys), np.ones(len(keys), bool)
+            ids = batch.column(at).to_pylist()
+            for r in itertools.compress(some, ok):
+                key = keys[r]
+                if (key, ids[r]) in seen or key in stays.value and stays.value[key] != ids[r]:
+                    keep[r] = False
+                else:
+                    seen.add((key, ids[r]))
+                    out[r] = key
+            if len(seen) > 500_000:
+                seen.clear()
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "nd_key"])
+            yield whole if keep.all() else whole.filter(pa.array(keep))
+        release()
+
+    return docs.mapInArrow(run, schema_of(docs, docs.columns, "nd_key binary"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
@@ -361,36 +496,41 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shingles; component_id is the smallest doc_id that links reach.  Null, empty and blank texts
     have no shingles, link with nothing and keep their own id.  Equal rows get equal results; rows
     of equal text are one class.  A null id links like any other but is never the smallest; if all
-    ids of a class are null, its component_id is null and its rows are kept.  Columns other than
-    id and text are not read.  An empty table gives an empty result.
+    ids of a class are null, its component_id is null and its rows are kept.  A text of any length is
+    taken whole.  Columns other than id and text are not read.  An empty table gives an empty result.
     """
-    spark = docs.sparkSession
-    stages = Stages(spark, "near-dup")
+    stages = Stages(docs.sparkSession, "near-dup")
     text = keyed_text(docs, id_col, text_col).withColumnRenamed("text", "nd_text")
     rows = stages.write(signed_rows(text, shingle, width, tuples), "rows")
-    whole = class_components(text, rows, stages, shingle, percent, width, tuples)
-    alone = rows.where("nd_key IS NULL").select("doc_id", F.col("nd_n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    out = rows.where("nd_key IS NOT NULL").join(whole, "nd_key").select("doc_id", F.col("nd_n").alias("n_shingles"), "component_id").unionAll(alone)
+    whole = class_components(text, rows, stages, shingle, percent, width, tuples).select("nd_key", "held", "component_id")
+    hot, rest = _split_hot(whole)
+    rows = rows.select("doc_id", "nd_key", F.col("nd_n").alias("n_shingles"))
+    alone = rows.where("nd_key IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    some = rows.where("nd_key IS NOT NULL")
+    out = some.join(hot, "nd_key").unionByName(some.join(hot, "nd_key", "left_anti").join(rest, "nd_key")).select("doc_id", "n_shingles", "component_id").unionAll(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75, width: int = 3, tuples: int = 24) -> DataFrame:
     """The rows of docs with one row for each group of near copies, all columns as they were.
 
-    The row with the smallest id stays; of repeated rows with that id and shingle set, one.  Texts
-    without words are never dropped.
+    The row with the smallest id stays; of repeated rows with that id and equal words, one.  Texts
+    without words (null, empty, blank) are never dropped.  A null id stays only where a group has no
+    other.  Columns may have any names; an empty table stays empty.
     """
     stages = Stages(docs.sparkSession, "near-dup")
     text = keyed_text(docs, id_col, text_col).withColumnRenamed("text", "nd_text")
     rows = stages.write(signed_rows(text, shingle, width, tuples), "rows")
     whole = class_components(text, rows, stages, shingle, percent, width, tuples)
     stages.drop("rows")
+    # Classes of one row and no link stay as they are; only the other rows are shuffled with their text.
+    grouped = stages.write(whole.where("held > 1 OR nd_linked").select("nd_key", "held", "component_id"), "grouped")
+    stages.drop("components")
     # Carried columns get names of their own, whatever they are called in docs.
     names = [f"c{k}" for k in range(len(docs.columns))]
     id_name, text_name = (names[docs.columns.index(c)] for c in (id_col, text_col))
-    renamed = docs.toDF(*names)
-    keyed = signed_rows(renamed.withColumn("nd_text", F.col(text_name).cast("string")), shingle, 0, 0)
-    none = keyed.where("nd_key IS NULL").select(names)
-    kept = keyed.where("nd_key IS NOT NULL").join(whole.withColumnRenamed("component_id", "nd_component"), "nd_key")
-    kept = kept.where(F.col(id_name).eqNullSafe(F.col("nd_component")))
-    return kept.dropDuplicates(["nd_key", id_name]).select(names).unionAll(none).toDF(*docs.columns)
+    keyed = _gated_rows(docs.toDF(*names), id_name, text_name, gate_of(grouped.select("nd_key")), _split_hot(grouped)[0])
+    some = keyed.where("nd_key IS NOT NULL").join(grouped.select("nd_key", F.col("component_id").alias("nd_least"), F.lit(True).alias("nd_known")), "nd_key", "left")
+    # What the gate let pass falsely is not known, and a class of its own.
+    some = some.where(F.col("nd_known").isNull() | F.col(id_name).eqNullSafe(F.col("nd_least"))).dropDuplicates(["nd_key", id_name])
+    return some.select(names).unionAll(keyed.where("nd_key IS NULL").select(names)).toDF(*docs.columns)

@@ -32,13 +32,12 @@ _ALNUM = tv.lut(lambda b: b >= 128 or chr(b).isalnum())
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of all words and word pairs in order, and each row's first; two for each word."""
-    prefix = tv.prefix_hash(data)
     parts = [tv.words(data, offsets, keep) for keep in (_ALNUM, _SYMBOL)]
     starts, ends = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
     order = np.argsort(starts, kind="stable")
     starts, ends = starts[order], ends[order]
     first = np.searchsorted(starts, offsets)
-    h = tv.span_hash(prefix, starts, ends)
+    h = tv.span_hash(data, starts, ends)
     before = np.empty_like(h)
     if len(h):
         before[1:] = h[:-1]
@@ -50,19 +49,20 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _feature_rows(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """(text, label, place) to distinct feature numbers, how often each stands in the text, label and place."""
     for a, b, data, offsets in tv.chunks(batch.column(0)):
         x, first = features(data, offsets)
-        lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(x.astype(np.int32)))
-        yield pa.RecordBatch.from_arrays([lists, batch.column(1).slice(a, b - a)], ["x", "label"])
+        row = np.repeat(np.arange(b - a), np.diff(first))
+        pairs, n = np.unique(row * SIZE + x, return_counts=True)
+        at = pa.array(np.searchsorted(pairs, np.arange(b - a + 1) * SIZE).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(v.astype(np.int32))) for v in (pairs % SIZE, n)]
+        yield pa.RecordBatch.from_arrays([*lists, batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a)], ["x", "n", "label", "place"])
 
 
-def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 5) -> tuple[np.ndarray, float]:
-    """Weights and bias; rows are (feature numbers with repeats, label), visited in seeded order."""
+def ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, seed: int = 5) -> tuple[np.ndarray, float]:
+    """Weights and bias; rows are (distinct feature numbers, their counts, label), visited in seeded order."""
     z, n = np.zeros(SIZE + 1), np.zeros(SIZE + 1)
-    packed = []
-    for x, label in rows:
-        at, count = np.unique(x, return_counts=True)
-        packed.append((np.append(at, SIZE), np.append(count * (SCALE / max(len(x), 1)), 1.0), label))
+    packed = [(np.append(at, SIZE), np.append(count * (SCALE / max(int(count.sum()), 1)), 1.0), label) for at, count, label in rows]
     rng = np.random.default_rng(seed)
 
     def weights(z, n):
@@ -85,20 +85,23 @@ def ftrl(rows: list[tuple[np.ndarray, int]], epochs: int = 4, alpha: float = 0.3
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, test_fold: int = 0, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and bias from rows of (doc_id, text) with a label 0 or 1 outside the test fold.
 
-    A document with several labels takes the lowest.  Without labels all weights are 0.
+    A document with several labels takes the lowest, an id with several texts the first in order, so
+    at most ``sample`` texts are read, as distinct features with their counts.  Without labels all
+    weights are 0.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds
     labels = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").where(fold != test_fold).groupBy("doc_id").agg(F.min("label").cast("long").alias("label"))
     chosen = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
-    found = map_batches(rows, _feature_rows, "x array<int>, label long").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = rows.select("text", "label", F.xxhash64("doc_id").alias("place"))
+    found = map_batches(rows, _feature_rows, "x array<int>, n array<int>, label long, place long").toArrow()
     if not found.num_rows:
         return np.zeros(SIZE, np.float32), 0.0
-    x = found["x"].combine_chunks()
-    values, at, y = np.asarray(x.values), np.asarray(x.offsets).tolist(), found["label"].to_numpy()
-    rows = [(values[a:b], int(label)) for a, b, label in zip(at[:-1], at[1:], y)]
-    rows.sort(key=lambda r: (len(r[0]), r[0][:8].tolist(), r[1]))  # the same order however tasks were scheduled
-    return ftrl(rows)
+    x, n, place = (found[c].combine_chunks() for c in ("x", "n", "place"))
+    rows = [(x[k].values.to_numpy(), n[k].values.to_numpy(), label) for k, label in enumerate(found["label"].to_pylist())]
+    # The same order however rows were dealt out and tasks were scheduled.
+    order = sorted(range(len(rows)), key=lambda k: (place[k].as_py(), rows[k][0].tobytes(), rows[k][1].tobytes()))
+    return ftrl([rows[k] for k in order])
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:

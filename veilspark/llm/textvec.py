@@ -9,6 +9,7 @@ whatever the batch size; one text longer than that is a chunk of its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,10 @@ import pyarrow as pa
 CHUNK = 1 << 18
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
-_powers: list[np.ndarray] = []
+_SEED = 0x2545F4914F6CDD1D
+#: bytes of the longest range that is hashed in vector rounds
+LONG = 64
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def lut(keep) -> np.ndarray:
@@ -37,18 +39,6 @@ ALNUM = lut(lambda b: 48 <= b <= 57 or 97 <= b <= 122 or b >= 128)
 LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2**64, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, 2 * CHUNK)
-        _powers[:] = []
-        for base in (_BASE, _INVERSE):
-            column = np.full(size, base, U64)
-            column[0] = 1
-            _powers.append(np.cumprod(column, dtype=U64))
-    return _powers[0], _powers[1]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64: every input bit reaches every output bit."""
     x = x ^ (x >> U64(30))
@@ -105,22 +95,32 @@ def words(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.n
     return starts, np.flatnonzero(stop) + 1, np.searchsorted(starts, offsets)
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Running polynomial hash; the hash of bytes s..e follows from two of its entries."""
-    out = np.zeros(len(data) + 1, U64)
-    np.cumsum(_BYTE[data] * _power_tables(len(data) + 1)[0][: len(data)], out=out[1:], dtype=U64)
-    return out
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range; equal bytes give equal hashes wherever they stand.
 
-
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal bytes give equal hashes wherever they stand."""
-    return mix((prefix[ends] - prefix[starts]) * _power_tables(len(prefix))[1][starts])
+    Eight bytes a round, each round mixed without any linear relation between bytes and hash; ranges
+    of more than ``LONG`` bytes take BLAKE2b.
+    """
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    blocks = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out = mix(size.astype(U64) + U64(_SEED))
+    live, at = np.flatnonzero((size > 0) & (size <= LONG)), 0
+    while len(live):
+        block = blocks[starts[live] + at] & _MASKS[np.minimum(size[live] - at, 8)]
+        out[live] = mix(out[live] ^ block) + mix(block * U64(_BASE) + U64(at + 1))
+        at += 8
+        live = live[size[live] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of a chunk in order, and for each row the first word's number."""
     starts, ends, first = words(data, offsets, keep)
-    return span_hash(prefix_hash(data), starts, ends), first
+    return span_hash(data, starts, ends), first
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -141,10 +141,11 @@ def row_numbers(first: np.ndarray) -> np.ndarray:
 
 
 def row_sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sum of the values of each row."""
-    total = np.zeros(len(values) + 1, np.float64)
-    np.cumsum(values, out=total[1:])
-    return total[first[1:]] - total[first[:-1]]
+    """Sum of the values of each row; it depends on that row's values alone, to the last bit."""
+    out, some = np.zeros(len(first) - 1), np.flatnonzero(np.diff(first) > 0)
+    if len(some):
+        out[some] = np.add.reduceat(np.asarray(values, np.float64), first[:-1][some])
+    return out
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -177,3 +178,20 @@ def shingles(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray,
     new[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     values, owner = values[new], owner[new]
     return values, np.searchsorted(owner, np.arange(rows + 1))
+
+
+def word_keys(data: np.ndarray, offsets: np.ndarray, keep: np.ndarray) -> list[bytes | None]:
+    """A 128-bit BLAKE2b digest of each row's words joined by blanks; None for a row without words."""
+    starts, ends, first = words(data, offsets, keep)
+    if not len(starts):
+        return [None] * (len(offsets) - 1)
+    kept = keep[data]
+    last = np.zeros(len(ends), bool)
+    last[first[1:][np.diff(first) > 0] - 1] = True
+    gaps = ends[~last]
+    kept[gaps] = True
+    text = data.copy()
+    text[gaps] = 32
+    at = np.concatenate(([0], np.cumsum(kept)))[offsets].tolist()
+    text = text[kept].tobytes()
+    return [hashlib.blake2b(text[a:b], digest_size=16).digest() if b > a else None for a, b in zip(at[:-1], at[1:])]
