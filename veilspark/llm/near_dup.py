@@ -367,21 +367,18 @@ def _distinct_groups(rows: DataFrame, key: str) -> DataFrame:
     return groups.where("lo <> hi").groupBy("lo", "hi", "n", "x", "y").agg(F.min(key).alias(key)).select(key, "lo", "hi", "n")
 
 
-def _resolve_tangles(stages: Stages, at: DataFrame, stars: DataFrame, links: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
+def _resolve_tangles(stages: Stages, at: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
     """Links between components that meet in a table key of three classes or more.
 
-    at has (at, hub, nid) of those tables.  A key is mixed only if one of its ties was not confirmed
-    and still joins two components.
+    at has (at, hub, nid) of those tables; those that hold more than one component so far are mixed.
     """
-    open_ties = stars.join(links.select(F.col("a").alias("hub"), F.col("b").alias("member")), ["hub", "member"], "left_anti")
     roots = labels.select("node", "root")
-    open_ties = open_ties.join(roots.select(F.col("node").alias("hub"), F.col("root").alias("ra")), "hub", "left")
-    open_ties = open_ties.join(roots.select(F.col("node").alias("member"), F.col("root").alias("rb")), "member", "left")
-    open_ties = _sent(stages, open_ties.where(F.coalesce("ra", "hub") != F.coalesce("rb", "member")).select("hub", F.col("member").alias("nid")), "open")
-    if open_ties.isEmpty():
-        return open_ties.select(F.col("hub").alias("a"), F.col("nid").alias("b"))
-    mixed = at.join(open_ties, ["hub", "nid"], "left_semi").select("at").distinct()
-    mixed = stages.write(at.join(_sent(stages, mixed, "mixed"), "at").select("at", "hub", "nid"), "mixed-at")
+    rooted = at.join(_sent(stages, roots.withColumnRenamed("node", "nid"), "roots"), "nid", "left").select("at", F.coalesce("root", "nid").alias("root"))
+    mixed = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at")
+    mixed = _sent(stages, mixed, "mixed")
+    if mixed.isEmpty():
+        return at.select(F.col("hub").alias("a"), F.col("nid").alias("b")).limit(0)
+    mixed = stages.write(at.join(mixed, "at").select("at", "hub", "nid"), "mixed-at")
     tangle = components(stages, mixed.select(F.col("hub").alias("a"), F.col("nid").alias("b")), "tangle")
     members = tangle.select(F.col("node").alias("nid"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "tangle", F.coalesce("root", "nid").alias("root"))
     members = stages.write(members.join(sets, "nid").withColumn("size", F.octet_length("nd_set") / 8), "members")
@@ -429,7 +426,7 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     sets = stages.write(sets.join(involved, "nd_key").select("nid", "nd_set"), "sets")
     links = stages.write(confirm_stars(stars, sets, percent), "links")
     labels = components(stages, links, "star")
-    more = stages.write(_resolve_tangles(stages, larger, stars, links, labels, classes, sets, percent, tuples), "more")
+    more = stages.write(_resolve_tangles(stages, larger, labels, classes, sets, percent, tuples), "more")
     if not more.isEmpty():
         labels = components(stages, links.unionAll(more), "all")
     own = classes.select("nid", "nd_key", "held", "least_id")
@@ -525,7 +522,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     stages.drop("rows")
     # Classes of one row and no link stay as they are; only the other rows are shuffled with their text.
     grouped = stages.write(whole.where("held > 1 OR nd_linked").select("nd_key", "held", "component_id"), "grouped")
-    stages.drop("components")
     # Carried columns get names of their own, whatever they are called in docs.
     names = [f"c{k}" for k in range(len(docs.columns))]
     id_name, text_name = (names[docs.columns.index(c)] for c in (id_col, text_col))
