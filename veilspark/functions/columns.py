@@ -48,8 +48,11 @@ def placeholders(text: Column) -> Column:
 
 
 def flat_lines(text: Column) -> Column:
-    """Each line break (CRLF counts once) as one blank."""
-    return F.regexp_replace(text, "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]", " ")
+    """Each line break (CRLF counts once) as one blank; one at the very end is dropped, as joining split lines does."""
+    return F.regexp_replace(F.regexp_replace(text, BREAK + r"\z", ""), BREAK, " ")
+
+
+BREAK = "(?:\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029])"
 
 
 def clamp_id(token: Column, vocabulary: int) -> Column:

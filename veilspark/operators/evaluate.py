@@ -23,8 +23,14 @@ def aligned(left: DataFrame, right: DataFrame, on: str | list[str] = "line_no")
 
 
 def leaks(values: DataFrame, out: DataFrame) -> DataFrame:
-    """values (line_no, ord, category, value) with ``leaked``: whether the value still stands in its output line."""
-    return values.join(out.select("line_no", F.col("redacted").alias("line")), "line_no").withColumn("leaked", F.contains("line", F.col("value"))).drop("line")
+    """values (line_no, ord, category, value) with ``leaked``: whether the value still stands in its output line.
+
+    A value whose line is missing from the output counts as leaked: losing lines never looks better.
+    Of several output lines of one number, any may leak it.  Only lines that hold a value are compared.
+    """
+    lines = out.join(values.select("line_no").distinct(), "line_no", "left_semi").groupBy("line_no").agg(F.collect_set("redacted").alias("lines"))
+    joined = values.join(lines, "line_no", "left")
+    return joined.withColumn("leaked", F.coalesce(F.exists("lines", lambda line: F.contains(line, F.col("value"))), F.lit(True))).drop("lines")
 
 
 def leak_rate(leaked: DataFrame, target: float = LEAK_TARGET) -> DataFrame:
@@ -38,8 +44,9 @@ def leak_rate(leaked: DataFrame, target: float = LEAK_TARGET) -> DataFrame:
 def matched(rows: DataFrame, others: DataFrame) -> DataFrame:
     """rows (line_no, ord, category, value) with ``hit``: whether an overlapping value of that line and category is among others."""
     other = others.select("line_no", "category", F.col("value").alias("other"))
-    pairs = rows.join(other, ["line_no", "category"]).where(overlaps(F.col("value"), F.col("other"))).select("line_no", "ord", "category", "value").distinct()
-    return rows.join(pairs.withColumn("hit", F.lit(True)), ["line_no", "ord", "category", "value"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+    others = other.groupBy("line_no", "category").agg(F.collect_set("other").alias("others"))
+    hit = F.exists("others", lambda o: overlaps(F.col("value"), o))
+    return rows.join(others, ["line_no", "category"], "left").withColumn("hit", F.coalesce(hit, F.lit(False))).drop("others")
 
 
 def _ratio(a: Column, b: Column) -> Column:

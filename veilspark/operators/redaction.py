@@ -2,17 +2,29 @@
 
 Two plans for one meaning.  If a scope lies in one row (a document), everything happens inside the
 row with array functions: no shuffle.  If a scope spans rows (a conversation, a stream), only the
-spans are shuffled: distinct values are reduced first, numbered by first occurrence and joined back.
+lines with spans are shuffled: distinct values are reduced first, as hashes, numbered by first
+occurrence, written without any value, and joined back.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import WITHHELD
+from ..shared import remove_folder, shared_folder
+from .decode import merge_in_row
+from .patterns import SPANS, pattern_spans
+from .scorers import score_lines
+
+#: up to so many distinct values are numbered by one window for each scope and category
+NARROW = 1_000_000
+FOUND = "array<struct<s:int,e:int,category:string,value:string>>"
 
 
 def enabled(spans: Column, only: Sequence[str] | None = None, skip: Sequence[str] = ()) -> Column:
@@ -24,7 +36,6 @@ def enabled(spans: Column, only: Sequence[str] | None = None, skip: Sequence[str
 
 def clamp(text: Column, spans: Column) -> Column:
     """Array of (s, e, category, value) without overlaps, inside the text, by start; never less covered than before."""
-    kind = "array<struct<s:int,e:int,category:string,value:string>>"
     numbered = F.array_sort(F.transform(spans, lambda x, n: F.struct(x["s"].alias("s"), n.alias("n"), x["e"].alias("e"), x["category"].alias("category"))))
 
     def add(state, x):
@@ -33,8 +44,8 @@ def clamp(text: Column, spans: Column) -> Column:
         kept = F.struct(e.alias("cursor"), F.concat(state["out"], F.array(span)).alias("out"))
         return F.when(s < e, kept).otherwise(state)
 
-    start = F.struct(F.lit(0).alias("cursor"), F.array().cast(kind).alias("out"))
-    return F.when(F.size(spans) > 0, F.aggregate(numbered, start, add, lambda state: state["out"])).otherwise(F.array().cast(kind))
+    start = F.struct(F.lit(0).alias("cursor"), F.array().cast(FOUND).alias("out"))
+    return F.when(F.size(spans) > 0, F.aggregate(numbered, start, add, lambda state: state["out"])).otherwise(F.array().cast(FOUND))
 
 
 def splice(text: Column, spans: Column) -> Column:
@@ -77,39 +88,111 @@ def vault_of_rows(redacted: DataFrame, scope: str) -> DataFrame:
     return redacted.select(F.col(scope).alias("scope"), F.explode("found").alias("f")).select("scope", "f.category", "f.value", "f.token").distinct()
 
 
-def vault_of_lines(lines: DataFrame, wide: bool = False) -> DataFrame:
-    """(scope, category, value, n, token) for lines (scope, line_no, found): numbers by first occurrence in (line_no, s).
+def _first_seen(lines: DataFrame) -> DataFrame:
+    """(scope, category, digest, first): each distinct value, as a hash, with the place of its first occurrence.
 
-    ``wide``: a scope may hold more distinct values than one task should sort; numbers then come
-    from counts by range partition instead of one window.
+    Lines of one number come in the order of a hash of their text; null numbers and scopes come first.
     """
-    seen = lines.select("scope", "line_no", F.explode("found").alias("f"))
-    first = seen.groupBy("scope", "f.category", "f.value").agg(F.min(F.struct("line_no", "f.s")).alias("first"))
-    if wide:
-        ordered = first.repartitionByRange("scope", "category", "first").withColumn("part", F.spark_partition_id()).checkpoint()
-        held = ordered.groupBy("scope", "category", "part").agg(F.count("*").alias("held"))
-        before = F.coalesce(F.sum("held").over(Window.partitionBy("scope", "category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        held = held.select("scope", "category", "part", before.alias("before"))
-        here = F.row_number().over(Window.partitionBy("part", "scope", "category").orderBy("first"))
-        numbered = ordered.withColumn("n", here).join(held, ["scope", "category", "part"]).withColumn("n", (F.col("n") + F.col("before")).cast("int"))
-    else:
-        numbered = first.withColumn("n", F.row_number().over(Window.partitionBy("scope", "category").orderBy("first")))
-    return numbered.select("scope", "category", "value", "n", placeholder(F.col("category"), F.col("n")).alias("token"))
+    seen = lines.where(F.size("found") > 0).select("scope", "line_no", F.xxhash64("text").alias("h"), F.explode("found").alias("f"))
+    return seen.groupBy("scope", "f.category", _digest(F.col("f.value")).alias("digest")).agg(F.min(F.struct("line_no", "h", "f.s")).alias("first"))
+
+
+def _digest(value: Column) -> Column:
+    return F.sha2(value, 256)
+
+
+def _numbered(first: DataFrame, wide: bool | None) -> DataFrame:
+    """(scope, category, digest, n), written to the shared folder: values stand there as hashes only.
+
+    ``wide``: numbers come from counts by range partition, for scopes with more distinct values than one
+    task should sort; None takes that way if there are more than ``NARROW`` distinct values in all.
+    """
+    folder = f"{shared_folder(first.sparkSession)}/numbers-{uuid.uuid4().hex[:12]}"
+    spark = first.sparkSession
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    atexit.register(_forget, spark, folder)
+    first = written(first, "first")
+    if wide is None:
+        wide = first.limit(NARROW + 1).count() > NARROW
+    if not wide:
+        return first.withColumn("n", F.row_number().over(Window.partitionBy("scope", "category").orderBy("first", "digest")))
+    ordered = written(first.repartitionByRange("scope", "category", "first", "digest").withColumn("part", F.spark_partition_id()), "ordered")
+    held = ordered.groupBy("scope", "category", "part").agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("scope", "category").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(F.col("scope").alias("scope_"), F.col("category").alias("category_"), F.col("part").alias("part_"), before.alias("before"))
+    here = F.row_number().over(Window.partitionBy("part", "scope", "category").orderBy("first", "digest"))
+    same = F.col("scope").eqNullSafe(F.col("scope_")) & (F.col("category") == F.col("category_")) & (F.col("part") == F.col("part_"))
+    return ordered.withColumn("n", here).join(held, same).withColumn("n", (F.col("n") + F.col("before")).cast("int"))
+
 
+def _forget(spark, folder: str) -> None:
+    with contextlib.suppress(Exception):
+        remove_folder(spark, folder)
 
-def redact_lines(lines: DataFrame, spans: str = "spans", only: Sequence[str] | None = None, skip: Sequence[str] = (), wide: bool = False) -> tuple[DataFrame, DataFrame]:
+
+def _tokens(first: DataFrame, wide: bool | None) -> DataFrame:
+    numbered = _numbered(first, wide)
+    return numbered.select(F.col("scope").alias("scope_"), F.col("category").alias("category_"), F.col("digest").alias("digest_"), "n", placeholder(F.col("category"), F.col("n")).alias("token"))
+
+
+def _same() -> Column:
+    return F.col("scope").eqNullSafe(F.col("scope_")) & (F.col("category") == F.col("category_")) & (F.col("digest") == F.col("digest_"))
+
+
+def vault_of_lines(lines: DataFrame, wide: bool | None = None) -> DataFrame:
+    """(scope, category, value, n, token) for lines (scope, line_no, text, found): numbers by first occurrence in (line_no, s)."""
+    return _vault(lines, _tokens(_first_seen(lines), wide))
+
+
+def _vault(lines: DataFrame, tokens: DataFrame) -> DataFrame:
+    values = lines.where(F.size("found") > 0).select("scope", F.explode("found").alias("f")).select("scope", "f.category", "f.value").distinct()
+    return values.withColumn("digest", _digest(F.col("value"))).join(tokens, _same()).select("scope", "category", "value", "n", "token")
+
+
+def redact_lines(lines: DataFrame, spans: str = "spans", only: Sequence[str] | None = None, skip: Sequence[str] = (), wide: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """(out, vault) for lines (scope, line_no, text, spans) whose scopes span rows.
 
-    out has scope, line_no, text and redacted.  Only lines with spans are joined; the rest pass by.
+    out has scope, line_no, text and redacted, a row for each line, whatever its scope, number or
+    text: a null text stays null, lines of one scope and number do not meet, a null scope is a scope.
+    Only lines with spans are joined, with their spans; the rest pass by.  Two passes detect: one
+    numbers the distinct values (see ``_numbered``), one redacts.
     """
-    found = lines.withColumn("found", clamp(F.col("text"), enabled(F.col(spans), only, skip)))
-    vault = vault_of_lines(found, wide)
-    hit = found.where(F.size("found") > 0).select("scope", "line_no", F.explode("found").alias("f")).select("scope", "line_no", "f.s", "f.e", "f.category", "f.value")
-    tokens = hit.join(vault.select("scope", "category", "value", "token"), ["scope", "category", "value"])
-    tokens = tokens.groupBy("scope", "line_no").agg(F.array_sort(F.collect_list(F.struct("s", "e", "token"))).alias("tokens"))
+    found = lines.withColumn("found", F.coalesce(clamp(F.col("text"), enabled(F.col(spans), only, skip)), F.array().cast(FOUND)))
+    tokens = _tokens(_first_seen(found), wide)
     clean = found.where(F.size("found") == 0).select("scope", "line_no", "text", F.col("text").alias("redacted"))
-    dirty = found.where(F.size("found") > 0).join(tokens, ["scope", "line_no"]).select("scope", "line_no", "text", splice(F.col("text"), F.col("tokens")).alias("redacted"))
-    return clean.unionAll(dirty), vault
+    hit = found.where(F.size("found") > 0).select("scope", "line_no", "text", F.posexplode("found").alias("k", "f"))
+    hit = hit.select("scope", "line_no", "text", "k", "f.s", "f.e", "f.category", _digest(F.col("f.value")).alias("digest"))
+    named = hit.join(tokens, _same()).groupBy("scope", "line_no", "text")
+    # Equal lines have equal spans: each span comes as often as the line does.
+    named = named.agg(F.array_sort(F.collect_set(F.struct("s", "e", "token"))).alias("tokens"), F.sum(F.when(F.col("k") == 0, 1)).alias("copies"))
+    dirty = named.select("scope", "line_no", "text", splice(F.col("text"), F.col("tokens")).alias("redacted"), F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    return clean.unionAll(dirty.select(clean.columns)), _vault(found, tokens)
+
+
+def redact(lines: DataFrame, scorer=None, text: str = "text", decoder: str = "viterbi", only: Sequence[str] | None = None, skip: Sequence[str] = (), fail_open: bool = False, wide: bool | None = None) -> tuple[DataFrame, DataFrame]:
+    """(out, vault): lines (scope, line_no, text) scored, decoded, merged, redacted, and withheld where that failed.
+
+    out has scope, line_no, redacted and ok.  ``scorer`` is any of ``scorers``, or None for the patterns.
+    A line whose scorer raises, or whose labels do not match its tokens, becomes the fixed placeholder
+    (its text if ``fail_open``) and leaves no value in the vault; other lines are not touched by it.  A
+    line without text is fine and stays null.
+    """
+    lines = lines.select("scope", "line_no", F.col(text).alias("text"))
+    if scorer is None:
+        ready = lines.withColumn("spans", pattern_spans(F.col("text"))).withColumn("ok", F.lit(True))
+    else:
+        scored = score_lines(lines.withColumn("blank", F.coalesce("text", F.lit(""))), scorer, "blank", decoder)
+        spans = F.when(F.col("scored.ok"), merge_in_row(F.col("scored.tokens"), F.col("scored.labels"))).otherwise(F.array().cast(SPANS))
+        ready = scored.select("scope", "line_no", "text", spans.alias("spans"), F.col("scored.ok").alias("ok"))
+    # The outcome is a part of the key that keeps lines apart.
+    keyed = ready.withColumn("line_no", F.struct("line_no", "ok"))
+    out, vault = redact_lines(keyed, only=only, skip=skip, wide=wide)
+    line = withhold(F.col("line_no.ok"), F.col("redacted"), F.col("text"), fail_open)
+    return out.select("scope", F.col("line_no.line_no").alias("line_no"), line.alias("redacted"), F.col("line_no.ok").alias("ok")), vault
 
 
 def withhold(ok: Column, redacted: Column, raw: Column, fail_open: bool = False) -> Column:

@@ -70,6 +70,29 @@ class FixtureScorer:
         return offsets, np.asarray(scores, np.float32)
 
 
+class MarkScorer:
+    """A scorer without weights: blank-separated words that hold a mark are singletons of its category.
+
+    A line of more than ``longest`` characters raises, as a model does whose input is too long.
+    """
+
+    def __init__(self, marks: dict[str, str], longest: int | None = None):
+        self.marks, self.longest = dict(marks), longest
+        self.labels = ["O"] + [f"{k}-{c}" for c in dict.fromkeys(self.marks.values()) for k in "BIES"]
+
+    def __call__(self, text: str) -> tuple[list[tuple[int, int]], np.ndarray]:
+        if self.longest is not None and len(text) > self.longest:
+            raise ValueError("too long")
+        words, offsets, at = text.split(" ") if text else [], [], 0
+        scores = np.zeros((len(words), len(self.labels)), np.float32)
+        for k, word in enumerate(words):
+            offsets.append((at, at + len(word)))
+            at += len(word) + 1
+            found = next((c for mark, c in self.marks.items() if mark in word), None)
+            scores[k, self.labels.index(f"S-{found}") if found else 0] = 1
+        return offsets, scores
+
+
 class ModelScorer:
     """An encoder and a token classifier; ids are clamped into the vocabulary."""
 
