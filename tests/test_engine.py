@@ -127,8 +127,13 @@ def test_model_forms_agree():
     w = np.random.default_rng(3).standard_normal((5, 128)).astype(np.float32)
     q = model.Quantised.of(w, 8)
     assert np.abs(q.dense() - w).max() < 0.02 and q.nbytes < w.nbytes
-    again = model.unflatten(model.read_safetensors(model.write_safetensors(model.flatten({"a": q}))), 8)["a"]
-    assert np.array_equal(again.dense(), q.dense())
+    mixed = {"a": q, "b": model.Quantised.of(w, 4)}
+    tensors = model.read_safetensors(model.write_safetensors(model.flatten(mixed)))
+    for block in (None, {"bits": 4, "group_size": 64, "a": {"bits": 8, "group_size": 64}}):
+        again = model.unflatten(tensors, quantization=block)
+        assert all(np.array_equal(again[k].dense(), mixed[k].dense()) and again[k].bits == mixed[k].bits for k in mixed)
+    with pytest.raises(ValueError):
+        model.unflatten(tensors, 4)
 
 
 def test_frames():
@@ -218,3 +223,132 @@ def test_score_difference_takes_whole_vectors(spark, tmp_path):
     rows = [(0, [0.0, 1.0, 0.0], 0), (1, [0.0, -1.0, 0.5], 0), (2, [0.5, -1.0, 0.5], 0)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
     assert tuple(plans.queries()["score_difference"](spark, str(tmp_path)).first()) == (2.0, 2.0)
+
+
+# ---------------------------------------------------------------- the golden line: best three scores of each token
+
+GOLDEN = "Contact John Smith at john@acme.com, key sk-proj-abc123def456."
+ENDS = [0, 7, 12, 18, 21, 26, 27, 29, 31, 35, 36, 40, 43, 47, 48, 49, 52, 55, 58, 61, 62]
+# Fixed values.
+SCORES = """
+O=15.26 I-private_url=3.00 E-private_url=2.25
+B-private_person=20.33 O=10.96 S-private_person=5.73
+E-private_person=20.24 O=11.62 S-private_person=5.00
+O=20.27 B-private_email=4.19 E-private_url=1.12
+B-private_email=20.79 B-private_person=7.88 O=7.84
+I-private_email=20.90 I-private_person=8.00 I-secret=7.78
+I-private_email=21.91 I-private_person=7.96 I-secret=7.30
+I-private_email=21.53 I-private_person=6.85 I-private_date=6.80
+E-private_email=18.58 I-private_email=8.95 S-private_phone=6.32
+O=16.63 I-private_address=4.54 I-private_person=3.45
+O=12.46 B-private_phone=4.81 B-private_person=4.55
+B-private_phone=13.26 B-secret=11.71 O=8.14
+I-secret=13.09 I-private_phone=11.31 O=9.33
+I-secret=13.99 I-private_phone=12.61 O=9.20
+I-secret=13.97 I-private_phone=13.42 O=9.70
+I-secret=14.37 I-private_phone=13.55 O=9.05
+I-private_phone=14.90 I-secret=13.70 O=9.67
+I-private_phone=14.50 I-secret=13.61 O=9.33
+E-private_phone=14.64 E-secret=13.09 O=10.36
+O=14.89 E-private_address=4.08 E-secret=2.61
+"""
+
+
+def golden_scorer():
+    rows = np.full((20, len(plans.ALL_LABELS)), -9.0, np.float32)
+    for row, line in zip(rows, SCORES.strip().splitlines()):
+        for pair in line.split():
+            label, value = pair.split("=")
+            row[plans.ALL_LABELS.index(label)] = float(value)
+    return scorers.FixtureScorer(plans.ALL_LABELS, {GOLDEN: (list(zip(ENDS, ENDS[1:])), rows.tolist())})
+
+
+@pytest.mark.parametrize(
+    "decoder, expected",
+    [
+        ("argmax", "Contact<PRIVATE_PERSON_1> at<PRIVATE_EMAIL_1>, key<PRIVATE_PHONE_1><SECRET_1><PRIVATE_PHONE_2>."),
+        ("viterbi", "Contact<PRIVATE_PERSON_1> at<PRIVATE_EMAIL_1>, key<PRIVATE_PHONE_1>."),
+    ],
+)
+def test_golden_line_and_failing_lines(spark, decoder, expected):
+    lines = spark.createDataFrame([(0, 0, GOLDEN), (0, 1, "no such line"), (0, 2, ""), (0, 3, None), (None, 4, GOLDEN), (0, 5, GOLDEN)], "scope long, line_no long, text string")
+    out, vault = redaction.redact(lines, golden_scorer(), decoder=decoder)
+    assert [r.redacted for r in out.orderBy("line_no").collect()] == [expected, C.WITHHELD, "", None, expected, expected]
+    assert {r.value for r in vault.collect()} >= {" John Smith", " john@acme.com"}
+    open_ = redaction.redact(lines, golden_scorer(), decoder=decoder, fail_open=True)[0]
+    assert [(r.redacted, r.ok) for r in open_.where("line_no = 1").collect()] == [("no such line", False)]
+    only = redaction.redact(lines, golden_scorer(), decoder=decoder, only=["private_email"], skip=["private_email"])[0]
+    assert only.where("line_no = 0").first().redacted == "Contact John Smith at<PRIVATE_EMAIL_1>, key sk-proj-abc123def456."
+
+
+@pytest.mark.parametrize("wide", [False, True])
+def test_lines_never_meet_nor_vanish(spark, wide):
+    rows = [(1, 1, "mail a@b.com now"), (1, 1, "zz c@dd.org yy"), (1, 1, "zz c@dd.org yy"), (None, 2, "x a@b.com"), (None, None, "y a@b.com"), (1, 3, None), (1, None, "plain")]
+    lines = spark.createDataFrame(rows, "scope long, line_no long, text string").withColumn("spans", pattern_spans(F.col("text")))
+    out, vault = redaction.redact_lines(lines, wide=wide)
+    got = sorted((r.redacted or "", r.text or "") for r in out.collect())
+    first, second = ("1", "2") if any(t.startswith("mail <PRIVATE_EMAIL_1>") for t, _ in got) else ("2", "1")
+    assert got == sorted([(f"mail <PRIVATE_EMAIL_{first}> now", rows[0][2]), *[(f"zz <PRIVATE_EMAIL_{second}> yy", rows[1][2])] * 2, ("x <PRIVATE_EMAIL_1>", rows[3][2]), ("y <PRIVATE_EMAIL_1>", rows[4][2]), ("", ""), ("plain", "plain")])
+    assert vault.count() == 3
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    assert not any(b"dd.org" in open(os.path.join(d, f), "rb").read() for d, _, names in os.walk(folder) if "numbers-" in d for f in names)
+
+
+def test_lines_of_null_texts(spark):
+    from veilspark.operators.lines import to_lines, to_text
+
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a\n\nb\r\n")], "doc_id long, text string")
+    lines = to_lines(docs, "doc_id")
+    assert sorted((r.scope, r.line_no, r.text) for r in lines.where("scope > 1").collect()) == [(2, 0, ""), (3, 0, "a"), (3, 1, ""), (3, 2, "b\r"), (3, 3, "")]
+    assert {r.scope: r.text for r in to_text(lines).collect()} == {r.doc_id: r.text for r in docs.collect()}
+    assert to_lines(docs, "doc_id", one_shot=True).where("scope = 3 AND line_no = 2").first().text == "b"
+
+
+def test_missing_lines_count_as_leaks(spark):
+    values = spark.createDataFrame([(0, 0, "secret", "k1"), (1, 0, "secret", "k2"), (2, 0, "secret", "k3")], "line_no long, ord int, category string, value string")
+    out = spark.createDataFrame([(0, 0, "<SECRET_1>"), (0, 2, "k3 stands")], "scope long, line_no long, redacted string")
+    assert {r.line_no: r.leaked for r in evaluate.leaks(values, out).collect()} == {0: False, 1: True, 2: True}
+    with pytest.raises(ValueError):
+        evaluate.aligned(values, out)
+
+
+def test_line_files(spark, tmp_path):
+    big = [f"line {k} of a file" for k in range(5000)]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_bytes("\n".join(big).encode())
+    (tmp_path / "in" / "b.txt").write_bytes(b"one\r\ntwo\rhalf\n\nlast")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        lines = text.read_lines(spark, str(tmp_path / "in"))
+        rows = [(os.path.basename(r.scope), r.line_no, r.text) for r in lines.orderBy("scope", "line_no").collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r[1:] for r in rows if r[0] == "a.txt"] == list(enumerate(big))
+    assert [r[1:] for r in rows if r[0] == "b.txt"] == [(0, "one"), (1, "two\rhalf"), (2, ""), (3, "last")]
+    text.write_lines(spark.createDataFrame([(0, k, t) for k, t in enumerate(["b", "a", "c"])], "scope long, line_no long, redacted string").coalesce(1), str(tmp_path / "out"))
+    assert "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*"))) == "b\na\nc\n"
+
+
+def test_gold_and_eval_files(spark, tmp_path):
+    gold = corpus.gold(spark, 20)
+    text.write_gold(gold.coalesce(1), str(tmp_path / "gold"))
+    back = text.read_gold(spark, str(tmp_path / "gold")).orderBy("line_no").collect()
+    assert [(r.text, [tuple(s) for s in r.spans]) for r in back] == [(r.text, [tuple(s) for s in r.spans]) for r in gold.orderBy("line_no").collect()]
+    np.savez(tmp_path / "ref.npz", texts=np.array(["a", "bc"]), lengths=np.array([1, 2]), ref_logits=np.arange(8, dtype=np.float32).reshape(2, 2, 2))
+    rows = text.read_eval(spark, str(tmp_path / "ref.npz")).orderBy("line_no").collect()
+    assert [(r.text, r.length, r.scores) for r in rows] == [("a", 1, [[0.0, 1.0]]), ("bc", 2, [[4.0, 5.0], [6.0, 7.0]])]
+
+
+def test_leak_gate_over_a_generated_corpus(spark):
+    gold = corpus.gold(spark, 100)
+    out, vault = redaction.redact(gold.select(F.lit(0).alias("scope"), "line_no", "text"))
+    values = gold.select("line_no", F.posexplode("spans").alias("ord", "s")).select("line_no", "ord", "s.category", "s.value")
+    values = values.where("category IN ('private_email', 'account_number', 'private_phone', 'private_url')")
+    report = {r.category: r for r in evaluate.leak_rate(evaluate.leaks(values, evaluate.aligned(gold.select("line_no"), out))).collect()}
+    assert report["overall"].total > 50 and report["overall"].passed and report["overall"].leaked == 0
+    assert evaluate.lines_conserved(gold, out).first().conserved
+
+
+def test_flat_lines(spark):
+    rows = spark.createDataFrame([("a\nb",), ("a\r\nb\n",), ("\n",), ("a\n\n",), (None,)], "t string").select(C.flat_lines(F.col("t"))).collect()
+    assert [r[0] for r in rows] == ["a b", "a b", "", "a ", None]

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import argmax, entity_type
+from ..functions.columns import entity_type
 
 GAP = 1
 LOWEST = -np.finfo(np.float32).max
@@ -101,15 +101,18 @@ def decode_udf(labels: Sequence[str], decoder: str = "viterbi", bias: Bias = Bia
     return decode
 
 
-def argmax_labels(scores: Column, labels: Sequence[str]) -> Column:
-    """Built-in form of the argmax decoder for an array of score arrays."""
-    names = F.array(*map(F.lit, labels))
-    return F.transform(scores, lambda row: F.element_at(names, argmax(row) + 1))
-
-
-def counts_agree(labels: Column, tokens: Column) -> Column:
-    """Whether there is a label for each token; a line where not is withheld."""
-    return F.size(labels) == F.size(tokens)
+def merged(tokens: Sequence[tuple[int, int]], labels: Sequence[str], gap: int = GAP) -> list[tuple[int, int, str]]:
+    """Spans (s, e, category) of labelled tokens in plain Python, for scorers whose labels never reach the JVM."""
+    out: list[tuple[int, int, str]] = []
+    for (s, e), label in zip(tokens, labels):
+        if label == "O":
+            continue
+        category = _parts(label)[1]
+        if out and out[-1][2] == category and s <= out[-1][1] + gap:
+            out[-1] = out[-1][0], max(out[-1][1], e), category
+        else:
+            out.append((s, e, category))
+    return out
 
 
 def merge_in_row(tokens: Column, labels: Column, gap: int = GAP) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import WITHHELD, overlaps, placeholders
+from ..functions.columns import WITHHELD, cosine, overlaps, placeholders
 
 #: the highest leak rate in percent that passes
 LEAK_TARGET = 3.0
@@ -128,6 +128,14 @@ def length_stats(rows: DataFrame, column: str = "text") -> DataFrame:
     return rows.agg(F.min(n).cast("long").alias("shortest"), F.percentile(n, F.lit(0.5)).alias("median"), F.max(n).cast("long").alias("longest"))
 
 
+def mean_cosine(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: the mean of the rows' cosines, and the cosine of all rows taken as one vector."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    x, y = F.col(a), F.col(b)
+    whole = F.sum(dot(x, y)) / (F.sqrt(F.sum(dot(x, x))) * F.sqrt(F.sum(dot(y, y))) + 1e-9)
+    return pairs.agg(F.avg(cosine(x, y)).alias("mean_cosine"), whole.alias("whole_cosine"))
+
+
 def lines_conserved(before: DataFrame, after: DataFrame) -> DataFrame:
     """One row: line counts of both tables and whether they are equal."""
     a, b = before.agg(F.count("*").alias("lines_in")), after.agg(F.count("*").alias("lines_out"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+#: fixed values of the activation
 LIMIT, SLOPE = 7.0, 1.702
 
 
@@ -271,15 +272,25 @@ def flatten(weights: dict) -> dict[str, np.ndarray]:
     return out
 
 
-def unflatten(tensors: dict[str, np.ndarray], bits: int = 4, group: int = 64) -> dict:
-    """Inverse of ``flatten``; bits and group size are those stored with the model."""
-    out = {}
+def unflatten(tensors: dict[str, np.ndarray], bits: int | None = None, group: int = 64, quantization: dict | None = None) -> dict:
+    """Inverse of ``flatten``; each tensor may have a width of its own.
+
+    ``quantization`` is the block stored with a model (``bits``, ``group_size``, and such blocks under
+    tensor names); it comes before the arguments.  Without either, a width follows from the shapes.
+    """
+    stored, out = quantization or {}, {}
     for name, t in tensors.items():
         base, _, part = name.rpartition(".")
         if f"{base}.scales" not in tensors:
             out[name] = t
         elif part == "weight":
-            out[base] = Quantised(t, tensors[f"{base}.scales"], tensors[f"{base}.biases"], bits, group)
+            own = stored.get(base) if isinstance(stored.get(base), dict) else {}
+            size = int(own.get("group_size", stored.get("group_size", group)))
+            scales = tensors[f"{base}.scales"]
+            width = own.get("bits", stored.get("bits", bits)) or 32 * t.shape[-1] // (scales.shape[-1] * size)
+            if 32 * t.shape[-1] != int(width) * scales.shape[-1] * size:
+                raise ValueError(f"{base}: {t.shape[-1]} words do not hold {scales.shape[-1]} groups of {size} at {width} bits")
+            out[base] = Quantised(t, scales, tensors[f"{base}.biases"], int(width), size)
     return out
 
 

@@ -18,9 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import WITHHELD
 from ..shared import remove_folder, shared_folder
-from .decode import merge_in_row
-from .patterns import SPANS, pattern_spans
-from .scorers import score_lines
+from .patterns import pattern_spans
+from .scorers import span_lines
 
 #: up to so many distinct values are numbered by one window for each scope and category
 NARROW = 1_000_000
@@ -161,7 +160,9 @@ def redact_lines(lines: DataFrame, spans: str = "spans", only: Sequence[str] | N
     Only lines with spans are joined, with their spans; the rest pass by.  Two passes detect: one
     numbers the distinct values (see ``_numbered``), one redacts.
     """
-    found = lines.withColumn("found", F.coalesce(clamp(F.col("text"), enabled(F.col(spans), only, skip)), F.array().cast(FOUND)))
+    found = F.coalesce(clamp(F.col("text"), enabled(F.col(spans), only, skip)), F.array().cast(FOUND))
+    # Filters on an exploded column stay above it, so spans are found once in a pass and not again for each filter.
+    found = lines.select("scope", "line_no", "text", F.explode(F.array(found)).alias("found"))
     tokens = _tokens(_first_seen(found), wide)
     clean = found.where(F.size("found") == 0).select("scope", "line_no", "text", F.col("text").alias("redacted"))
     hit = found.where(F.size("found") > 0).select("scope", "line_no", "text", F.posexplode("found").alias("k", "f"))
@@ -185,9 +186,8 @@ def redact(lines: DataFrame, scorer=None, text: str = "text", decoder: str = "vi
     if scorer is None:
         ready = lines.withColumn("spans", pattern_spans(F.col("text"))).withColumn("ok", F.lit(True))
     else:
-        scored = score_lines(lines.withColumn("blank", F.coalesce("text", F.lit(""))), scorer, "blank", decoder)
-        spans = F.when(F.col("scored.ok"), merge_in_row(F.col("scored.tokens"), F.col("scored.labels"))).otherwise(F.array().cast(SPANS))
-        ready = scored.select("scope", "line_no", "text", spans.alias("spans"), F.col("scored.ok").alias("ok"))
+        scored = span_lines(lines.withColumn("blank", F.coalesce("text", F.lit(""))), scorer, "blank", decoder)
+        ready = scored.select("scope", "line_no", "text", "scored.spans", "scored.ok")
     # The outcome is a part of the key that keeps lines apart.
     keyed = ready.withColumn("line_no", F.struct("line_no", "ok"))
     out, vault = redact_lines(keyed, only=only, skip=skip, wide=wide)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .decode import Bias, Transitions, first_best, viterbi
+from .decode import Bias, Transitions, first_best, merged, viterbi
 
 SCORED = "ok boolean, err string, tokens array<struct<s:int,e:int>>, labels array<string>"
 _BLANK = " \t\n\r"
@@ -106,15 +106,17 @@ class ModelScorer:
         return offsets, self.model.logits(np.clip(np.asarray(ids), 0, self.model.vocabulary - 1))
 
 
-def score_lines(lines: DataFrame, scorer, text: str = "text", decoder: str = "viterbi", bias: Bias = Bias()) -> DataFrame:
-    """lines plus ``scored`` (ok, err, tokens, labels), in one Python stage: scores never leave it.
+def labelled(scorer, line: str, decoder: str, transitions: Transitions) -> tuple[list[tuple[int, int]], list[str]]:
+    """Token offsets and labels of one line; raises where the scorer does or where they differ in number."""
+    offsets, scores = scorer(line)
+    labels = first_best(scores, scorer.labels) if decoder == "argmax" else viterbi(scores, scorer.labels, transitions)
+    if len(labels) != len(offsets):
+        raise ValueError("labels and tokens differ in number")
+    return offsets, labels
 
-    An exception in a line marks that line as failed with the exception's type only, never its text.
-    A line without tokens is fine and has no labels; a label count that differs from the tokens fails.
-    """
-    shared = lines.sparkSession.sparkContext.broadcast(scorer)
 
-    @F.pandas_udf(SCORED)
+def _udf(scorer, shared, decoder: str, bias: Bias, schema: str, columns: list[str], row: Callable, failed: tuple):
+    @F.pandas_udf(schema)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         tool = shared.value
         transitions = Transitions(tool.labels, bias)
@@ -122,13 +124,27 @@ def score_lines(lines: DataFrame, scorer, text: str = "text", decoder: str = "vi
             rows = []
             for line in batch:
                 try:
-                    offsets, scores = tool(line)
-                    labels = first_best(scores, tool.labels) if decoder == "argmax" else viterbi(scores, tool.labels, transitions)
-                    if len(labels) != len(offsets):
-                        raise ValueError("labels and tokens differ in number")
-                    rows.append((True, None, [{"s": int(s), "e": int(e)} for s, e in offsets], labels))
+                    rows.append((True, None, *row(*labelled(tool, line, decoder, transitions))))
                 except Exception as e:
-                    rows.append((False, type(e).__name__, [], []))
-            yield pd.DataFrame(rows, columns=["ok", "err", "tokens", "labels"])
+                    rows.append((False, type(e).__name__, *failed))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def score_lines(lines: DataFrame, scorer, text: str = "text", decoder: str = "viterbi", bias: Bias = Bias()) -> DataFrame:
+    """lines plus ``scored`` (ok, err, tokens, labels), in one Python stage: scores never leave it.
 
-    return lines.withColumn("scored", run(F.col(text)))
+    An exception in a line marks that line as failed with the exception's type only, never its text.
+    A line without tokens is fine and has no labels; a label count that differs from the tokens fails.
+    """
+    shared = lines.sparkSession.sparkContext.broadcast(scorer)
+    row = lambda offsets, labels: ([{"s": int(s), "e": int(e)} for s, e in offsets], labels)
+    return lines.withColumn("scored", _udf(scorer, shared, decoder, bias, SCORED, ["ok", "err", "tokens", "labels"], row, ([], []))(F.col(text)))
+
+
+def span_lines(lines: DataFrame, scorer, text: str = "text", decoder: str = "viterbi", bias: Bias = Bias()) -> DataFrame:
+    """lines plus ``scored`` (ok, err, spans): as ``score_lines``, with the labels merged to spans in the same stage."""
+    shared = lines.sparkSession.sparkContext.broadcast(scorer)
+    row = lambda offsets, labels: ([{"s": int(s), "e": int(e), "category": c} for s, e, c in merged(offsets, labels)],)
+    return lines.withColumn("scored", _udf(scorer, shared, decoder, bias, "ok boolean, err string, spans array<struct<s:int,e:int,category:string>>", ["ok", "err", "spans"], row, ([],))(F.col(text)))

@@ -353,6 +353,17 @@ def cosine_parity(spark, sf_dir):
     return _neighbours(spark, sf_dir).select("vec_id", F.round(C.cosine(F.col("x"), F.col("y")), 6).alias("cosine"))
 
 
+def _dots(a: str, b: str) -> str:
+    return f"list_sum(list_transform(range(1, len({a}) + 1), lambda i: {a}[i]::DOUBLE * {b}[i]::DOUBLE))"
+
+
+@query(f"""SELECT round(avg(xy / (sqrt(xx) * sqrt(yy) + 1e-9)), 6) AS mean_cosine, round(sum(xy) / (sqrt(sum(xx)) * sqrt(sum(yy)) + 1e-9), 6) AS whole_cosine
+  FROM (SELECT {_dots("x", "y")} AS xy, {_dots("x", "x")} AS xx, {_dots("y", "y")} AS yy FROM {_PAIR})""")
+def cosine_of_all(spark, sf_dir):
+    rows = evaluate.mean_cosine(_neighbours(spark, sf_dir), "x", "y")
+    return rows.select(F.round("mean_cosine", 6).alias("mean_cosine"), F.round("whole_cosine", 6).alias("whole_cosine"))
+
+
 @query(f"SELECT count(*) AS tokens, sum((la = lb)::INT)::BIGINT AS agreeing, round(100.0 * sum((la = lb)::INT) / count(*), 6)::DOUBLE AS percent FROM {_PAIR}")
 def argmax_agreement(spark, sf_dir):
     return evaluate.agreement(_neighbours(spark, sf_dir), "la", "lb")

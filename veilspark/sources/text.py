@@ -7,7 +7,7 @@ import logging
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flat_lines
@@ -29,15 +29,22 @@ FINE_GAP = 3
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(scope, line_no, text) of text files: each file is a scope, lines end at newlines, a trailing CR is dropped."""
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("scope"), F.regexp_replace("value", "\n$", "").alias("value"))
-    rows = whole.select("scope", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "text"))
-    return rows.withColumn("text", F.regexp_replace("text", "\r$", ""))
+    """(scope, line_no, text) of text files: each file is a scope, lines end at newlines, a trailing CR is dropped.
+
+    A file is read in splits by many tasks.  Rows are numbered inside a split as they come; the lines of
+    the splits before it, of which there is one row each, are added.
+    """
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select(F.col("_metadata.file_path").alias("scope"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"), F.regexp_replace("value", "\r$", "").alias("text"))
+    splits = rows.groupBy("scope", "block").agg(F.min("id").alias("first"), F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy("scope").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select("scope", "block", (before - F.col("first")).alias("shift"))
+    return rows.join(splits, ["scope", "block"]).select("scope", (F.col("id") + F.col("shift")).alias("line_no"), "text")
 
 
 def write_lines(out: DataFrame, path: str, column: str = "redacted") -> None:
     """Lines as text files in the order of scope and line number."""
-    out.orderBy("scope", "line_no").select(F.col(column).alias("value")).write.mode("overwrite").text(path)
+    out.orderBy("scope", "line_no").select(F.col(column).alias("value")).write.mode("overwrite").option("lineSep", "\n").text(path)
 
 
 def write_vault(vault: DataFrame, scope, path: str) -> int:
@@ -59,14 +66,15 @@ def report(message: str) -> None:
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, text, spans) of JSON lines; line breaks inside a text become blanks, blank lines are skipped."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line")).where(F.trim("line") != "")
-    rows = rows.select("line_no", F.from_json("line", GOLD).alias("g")).select("line_no", "g.*")
+    """(line_no, text, spans) of JSON lines in a file; line breaks inside a text become blanks, blank lines are skipped."""
+    rows = read_lines(spark, path).where(F.trim("text") != "")
+    rows = rows.select("line_no", F.from_json("text", GOLD).alias("g")).select("line_no", "g.*")
     return rows.withColumn("text", flat_lines(F.col("text")))
 
 
 def write_gold(gold: DataFrame, path: str) -> None:
-    gold.orderBy("line_no").select(F.to_json(F.struct("text", "spans")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """JSON lines in order, in as many files as there are partitions, named in that order."""
+    gold.orderBy("line_no").select(F.to_json(F.struct("text", "spans")).alias("value")).write.mode("overwrite").text(path)
 
 
 def coarse(label: Column) -> Column:
