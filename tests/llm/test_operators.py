@@ -488,83 +488,80 @@ def test_classifiers_without_labels(spark):
     assert {r.predicted for r in toxicity.score(docs, toxicity.train(docs.select("doc_id", "text"), none)).collect()} == {0}
 
 
-def test_ngram_margin_equals_plain_kneser_ney():
-    texts, y = ["good day sir", "good night", "bad toad", "bad bad day"], [0, 0, 1, 1]
-    counts = {0: {}, 1: {}}
+def plain_kneser_ney(texts, y):
+    """P(class, gram) and the shared S(gram), by dictionaries."""
+    from collections import Counter
+
     pad = " " * (toxicity.ORDER - 1)
-    for t, label in zip(texts, y):
-        s = pad + t
-        for k in range(len(t)):
-            g = s[k : k + toxicity.ORDER]
-            counts[label][g] = counts[label].get(g, 0) + 1
-    types = sorted({*counts[0], *counts[1]})
-    d = toxicity.DISCOUNT
+    cut = lambda t: [(pad + t)[k : k + toxicity.ORDER] for k in range(len(t))]
+
+    def taken(counts):
+        n = [sum(v == k for v in counts.values()) for k in range(1, 5)]
+        share = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+        d = [min(max(k - (k + 1) * share * n[k] / n[k - 1] if n[k - 1] else k / 2, 0.1), k - 0.1) for k in (1, 2, 3)]
+        return lambda v: d[min(v, 3) - 1] if v else 0.0
 
-    def shared(g, chain=toxicity.CHAIN):
-        if not chain:
+    counts = [Counter(g for t, label in zip(texts, y) if label == c for g in cut(t)) for c in (0, 1)]
+    types = {*counts[0], *counts[1]}
+    levels = []
+    for counted in (counts[0], counts[1], *(Counter(g[-k:] for g in types) for k in toxicity.CHAIN)):
+        d, total, mass = taken(counted), Counter(), Counter()
+        for g, n in counted.items():
+            total[g[:-1]] += n
+            mass[g[:-1]] += d(n)
+        levels.append((counted, d, total, mass))
+
+    def shared(g, k=0):
+        if k == len(toxicity.CHAIN):
             return 1 / 256
-        k, ends = chain[0], [t[-chain[0] :] for t in types]
-        s = g[-k:]
-        same = [e for e in ends if e[:-1] == s[:-1]]
-        low = shared(g, chain[1:])
-        return (max(ends.count(s) - d, 0) + d * len(set(same)) * low) / len(same) if same else low
+        counted, d, total, mass = levels[2 + k]
+        s, low = g[-toxicity.CHAIN[k] :], shared(g, k + 1)
+        return (counted[s] - d(counted[s]) + mass[s[:-1]] * low) / total[s[:-1]] if total[s[:-1]] else low
 
     def p(c, g):
-        total = sum(n for t, n in counts[c].items() if t[:-1] == g[:-1])
-        kinds = sum(t[:-1] == g[:-1] for t in counts[c])
-        return (max(counts[c].get(g, 0) - d, 0) + d * kinds * shared(g)) / total if total else shared(g)
-
-    (batch,) = [pa.RecordBatch.from_arrays([pa.array(texts), pa.array(y)], ["text", "label"])]
-    merged = {}
-    for b in toxicity._count(iter([batch])):
-        for g, a, c in zip(*(b.column(k).to_pylist() for k in range(3))):
-            old = merged.get(g, (0, 0))
-            merged[g] = (old[0] + a, old[1] + c)
-    grams = pa.RecordBatch.from_arrays([pa.array(list(merged)), pa.array([v[0] for v in merged.values()]), pa.array([v[1] for v in merged.values()])], ["gram", "n0", "n1"])
-    kept = {}
-    for b in toxicity._roles(grams):
-        kept[b.column(0)[0].as_py()] = (np.asarray(b.column(2)).view(np.uint64), [np.asarray(b.column(k)) for k in range(3, 7)])
-    model = toxicity._build(kept)
-    for t in ["good toad", "bad sir"]:
-        s = pad + t
-        known = [s[k : k + toxicity.ORDER] for k in range(len(t))]
-        expected = sum(np.log(p(1, g) / p(0, g)) for g in known if g[:-1] in {x[:-1] for x in types})
+        counted, d, total, mass = levels[c]
+        return (counted[g] - d(counted[g]) + mass[g[:-1]] * shared(g)) / total[g[:-1]] if total[g[:-1]] else shared(g)
+
+    return cut, types, counts, p
+
+
+def built(counts):
+    types = sorted({*counts[0], *counts[1]})
+    grams = np.array([int.from_bytes(g.encode(), "big") for g in types], np.uint64)
+    return toxicity._build(grams, *(np.array([counts[c][g] for g in types], np.int64) for c in (0, 1)))
+
+
+def test_kneser_ney_sums_to_one():
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcd ") for _ in range(rng.randint(5, 60))) for _ in range(60)]
+    _, types, _, p = plain_kneser_ney(texts, [k % 3 == 0 for k in range(60)])
+    for context in {g[:-1] for g in types}:
+        for c in (0, 1):
+            seen = sum(p(c, context + chr(x)) for x in range(256))
+            assert seen == pytest.approx(1, abs=1e-9)
+
+
+def test_ngram_margin_equals_plain_kneser_ney():
+    texts, y = ["good day sir", "good night", "bad toad", "bad bad day"], [0, 0, 1, 1]
+    cut, types, counts, p = plain_kneser_ney(texts, y)
+    model = built(counts)
+    for t in ["good toad", "bad sir", "zzz", "bad bad bad"]:
+        expected = sum(np.log(p(1, g) / p(0, g)) for g in cut(t))
         data = np.frombuffer(t.encode(), np.uint8)
         assert model.margins(data, np.array([0, len(data)]))[0] * (len(t) + toxicity.DAMP) == pytest.approx(expected, abs=1e-9)
 
 
-def test_ngram_model_keeps_all_of_many_grams(spark):
-    from collections import Counter
+def test_discounts_stay_below_the_counts():
+    for counts in ([], [1], [2, 2], [1, 1, 1, 5], [3, 3, 4], list(range(1, 50)), [1] * 9 + [2] * 90):
+        d = toxicity.discounts(np.array(counts, np.int64))
+        assert d[0] == 0 and all(0 < d[k] < k for k in (1, 2, 3))
+
 
+def test_ngram_model_keeps_all_of_many_grams(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(50)) for _ in range(1200)]
     y = [k % 2 for k in range(len(texts))]
-    pad, d = " " * (toxicity.ORDER - 1), toxicity.DISCOUNT
-    cut = lambda t: [(pad + t)[k : k + toxicity.ORDER] for k in range(len(t))]
-    counts = [Counter(g for t, label in zip(texts, y) if label == c for g in cut(t)) for c in (0, 1)]
-    types = {*counts[0], *counts[1]}
-    seen = Counter(g[-k:] for g in types for k in toxicity.CHAIN)
-    total, kinds = Counter(), Counter()
-    for s, n in seen.items():
-        total[len(s), s[:-1]] += n
-        kinds[len(s), s[:-1]] += 1
-    sums, follow = [Counter(), Counter()], [Counter(), Counter()]
-    for c in (0, 1):
-        for g, n in counts[c].items():
-            sums[c][g[:-1]] += n
-            follow[c][g[:-1]] += 1
-
-    def shared(g):
-        low = 1 / 256
-        for k in reversed(toxicity.CHAIN):
-            s, at = g[-k:], (k, g[-k:-1])
-            low = (max(seen[s] - d, 0) + d * kinds[at] * low) / total[at] if total[at] else low
-        return low
-
-    def p(c, g):
-        n = sums[c][g[:-1]]
-        return (max(counts[c][g] - d, 0) + d * follow[c][g[:-1]] * shared(g)) / n if n else shared(g)
-
+    cut, _, _, p = plain_kneser_ney(texts, y)
     docs = docs_of(spark, texts)
     # One fold is counted, none is held out and none fits the curve.
     labels = spark.createDataFrame(list(enumerate(y)), "doc_id long, label int")
@@ -574,6 +571,42 @@ def test_ngram_model_keeps_all_of_many_grams(spark):
     assert np.allclose(model.margins(data, offsets), expected, atol=1e-9)
 
 
+def test_equal_texts_score_alike_wherever_they_stand(spark):
+    rng = random.Random(6)
+    text, others = prose(rng, 200), [prose(rng, rng.randint(1, 400)) for _ in range(40)]
+    docs = docs_of(spark, [x for o in others for x in (text, o)] + EDGES + [text]).repartition(3)
+    labels = spark.createDataFrame([(2 * k + 1, k % 2) for k in range(40)], "doc_id long, label int")
+    for kind in (toxicity, quality):
+        rows = kind.score(docs, kind.train(docs.select("doc_id", "text"), labels)).collect()
+        assert len(rows) == 81 + len(EDGES) and len({r.score for r in rows if (r.doc_id < 80 and r.doc_id % 2 == 0) or r.doc_id == 80 + len(EDGES)}) == 1
+        assert kind.score(docs.limit(0), kind.train(docs.select("doc_id", "text"), labels.limit(0))).count() == 0
+
+
+def test_quality_features_and_ftrl_equal_a_plain_form(spark):
+    ((_, _, data, offsets),) = textvec.chunks(pa.array(["Ab, cd!! ef", "", "cd!! ef"]))
+    x, first = quality.features(data, offsets)
+    words = [re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\x20]+", t) for t in ("Ab, cd!! ef", "", "cd!! ef")]
+    assert np.diff(first).tolist() == [2 * len(w) for w in words]
+    assert x[first[2] + 2 :].tolist() == x[first[1] - 4 : first[1]].tolist() and x[first[2]] == x[4]
+    rng = np.random.default_rng(2)
+    rows = [(np.unique(rng.integers(0, 50, 8)), label) for label in rng.integers(0, 2, 60).tolist()]
+    rows = [(at, rng.integers(1, 4, len(at)), label) for at, label in rows]
+    got, bias = quality.ftrl(rows, epochs=2, alpha=0.2, beta=0.5, l1=0.01, l2=0.03, seed=9)
+    z, n, order = {}, {}, np.random.default_rng(9)
+    weight = lambda k: 0.0 if abs(z.get(k, 0.0)) <= 0.01 else -(z[k] - np.sign(z[k]) * 0.01) / ((0.5 + np.sqrt(n[k])) / 0.2 + 0.03)
+    for _ in range(2):
+        for r in order.permutation(60):
+            at, count, label = rows[r]
+            pairs = [(int(k), c * quality.SCALE / count.sum()) for k, c in zip(at, count)] + [("bias", 1.0)]
+            p = 1 / (1 + np.exp(-np.clip(sum(weight(k) * v for k, v in pairs), -30, 30)))
+            for k, v in pairs:
+                g, w, before = (p - label) * v, weight(k), n.get(k, 0.0)
+                z[k] = z.get(k, 0.0) + g - (np.sqrt(before + g * g) - np.sqrt(before)) / 0.2 * w
+                n[k] = before + g * g
+    assert np.allclose(got[:50], [weight(k) for k in range(50)], atol=1e-6) and bias == pytest.approx(weight("bias"))
+    assert not got[50:].any()
+
+
 def test_tagger_finds_spans_longer_than_half_a_window():
     syllables, rng, texts, gold = ["an", "th", "er", "on", "re", "st", "la", "ve", "qu", "ich", "de", "o", "mi"], random.Random(8), [], []
     word = lambda n: "".join(rng.choice(syllables) for _ in range(n))

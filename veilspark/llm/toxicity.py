@@ -6,9 +6,11 @@ one hash aggregate.  The exact counts of all distinct n-grams go to the driver,
 contexts and suffixes; the model holds every one of them, so its size grows with their number.
 For class c, byte x and the bytes h before it
 
-    P_c(x | h) = [max(n_c(hx) - D, 0) + D t_c(h) S(x | h')] / n_c(h)
+    P_c(x | h) = [n_c(hx) - D(n_c(hx)) + S(x | h') * sum_y D(n_c(hy))] / n_c(h)
 
-where S is a chain of continuation distributions (in how many full contexts a suffix was seen)
+where the discounts D of a count of one, two, and three or more are estimated for each class from
+its counts of counts and stay below the count (modified Kneser-Ney), so P_c sums to one.  S is a
+chain of continuation distributions of the same form (in how many full contexts a suffix was seen)
 pooled over both classes: rare and unseen expressions fall back on shared counts and favour no
 class.  Byte n-grams rather than words, since in compounding languages a toxic stem hides inside
 ever new words.  A text's margin is the mean of log P_toxic - log P_ordinary over its bytes; a
@@ -31,7 +33,6 @@ from .common import Stages, keyed_text, map_batches
 ORDER = 4
 #: suffix lengths of the shared backoff chain, longest first
 CHAIN = (3, 2, 1)
-DISCOUNT = 1.5
 BINS = 8192
 SPREAD = 1.0
 #: a text's margin is a sum over its bytes divided by their number plus this
@@ -98,29 +99,20 @@ def _sums(keys: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list
     return keys[starts], [np.add.reduceat(c[order], starts) for c in columns]
 
 
-_COUNTS = ["n0", "n1", "t0", "t1"]
-_CONTEXT = 0
-
-
 def _slot(ids: np.ndarray, slots: int) -> np.ndarray:
     return (tv.mix(ids) % tv.U64(slots)).astype(np.int64)
 
 
-def _roles(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Counted n-grams to rows of contexts (kind 0), suffixes (their length) and n-grams (ORDER)."""
-    gram = np.asarray(batch.column(0)).view(np.uint64)
-    n0, n1 = np.asarray(batch.column(1)), np.asarray(batch.column(2))
-    one, zero = np.ones(len(gram), np.int64), np.zeros(len(gram), np.int64)
-    parts = [(_CONTEXT, gram >> tv.U64(8), [n0, n1, (n0 > 0) * one, (n1 > 0) * one])]
-    parts += [(k, _suffix(gram, k), [zero, zero, one, zero]) for k in CHAIN]
-    parts.append((ORDER, gram, [n0, n1, zero, zero]))
-    for kind, ids, columns in parts:
-        yield _row_batch(kind, *_sums(ids, columns))
+def discounts(counts: np.ndarray) -> np.ndarray:
+    """What is taken off a count of 0, 1, 2 and 3 or more, from the counts of counts; less than the count itself."""
+    n = [int(np.count_nonzero(counts == k)) for k in range(1, 5)]
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] + n[1] else 0.5
+    out = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else k / 2 for k in (1, 2, 3)]
+    return np.array([0.0, *np.clip(out, [0.1, 0.1, 0.1], [0.9, 1.9, 2.9])])
 
 
-def _row_batch(kind: int, ids, columns) -> pa.RecordBatch:
-    head = pa.array((ids >> tv.U64(8)).view(np.int64))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), kind, np.int64)), head, pa.array(ids.view(np.int64)), *map(pa.array, columns)], ["kind", "head", "id", *_COUNTS])
+def _cut(counts: np.ndarray) -> np.ndarray:
+    return discounts(counts)[np.minimum(counts, 3)]
 
 
 class _Table:
@@ -185,26 +177,32 @@ class _Lookup:
         return [np.where(self.keys[at] == keys, c[at], 0.0) for c in self.columns]
 
 
-def _build(kept: dict[int, tuple[np.ndarray, list[np.ndarray]]]) -> Model:
-    """Log ratios from all n-grams, contexts and suffixes: kind to (ids, n0, n1, t0, t1)."""
-    grams, (n0, n1, *_) = kept[ORDER]
-    contexts, context_counts = kept[_CONTEXT]
+def shared_chain(grams: np.ndarray) -> np.ndarray:
+    """S(last byte | bytes before it) for each distinct n-gram, from the shortest suffix to the longest."""
     shared = np.full(len(grams), 1 / 256)
     for k in reversed(CHAIN):
-        ids, counts = kept[k]
-        heads, (total, kinds) = _sums(ids >> tv.U64(8), [counts[2], np.ones(len(ids), np.int64)])
-        (seen,) = _Lookup(ids, [counts[2]])(_suffix(grams, k))
-        total, kinds = _Lookup(heads, [total, kinds])(_suffix(grams, k) >> tv.U64(8))
-        some = total > 0
-        shared[some] = ((np.maximum(seen - DISCOUNT, 0) + DISCOUNT * kinds * shared) / np.maximum(total, 1))[some]
-    c0, c1, t0, t1 = _Lookup(contexts, context_counts)(grams >> tv.U64(8))
-    ratio = np.zeros(len(grams))
-    for n, c, t, sign in ((n0, c0, t0, -1), (n1, c1, t1, 1)):
-        ratio += sign * np.log(np.where(c > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * t * shared) / np.maximum(c, 1), shared))
-    gram = _Table(grams, ratio, n0 + n1)
-    c0, c1, t0, t1 = (c.astype(float) for c in context_counts)
-    back = sum(sign * np.log(np.where(c > 0, DISCOUNT * t / np.maximum(c, 1), 1)) for c, t, sign in ((c0, t0, -1), (c1, t1, 1)))
-    return Model(gram, _Table(contexts, back, c0 + c1))
+        suffixes = _suffix(grams, k)
+        ids, (seen,) = _sums(suffixes, [np.ones(len(grams), np.int64)])
+        cut = _cut(seen)
+        heads, (total, mass) = _sums(ids >> tv.U64(8), [seen, cut])
+        (rest,) = _Lookup(ids, [seen - cut])(suffixes)
+        total, mass = _Lookup(heads, [total, mass])(suffixes >> tv.U64(8))
+        shared = (rest + mass * shared) / total
+    return shared
+
+
+def _build(grams: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> Model:
+    """Log ratios from the counts of all n-grams in ordinary and in toxic texts."""
+    shared, ratio = shared_chain(grams), np.zeros(len(grams))
+    cuts = [_cut(n) for n in (n0, n1)]
+    contexts, sums = _sums(grams >> tv.U64(8), [n0, n1, *cuts])
+    back = np.zeros(len(contexts))
+    for c, (n, cut, sign) in enumerate(((n0, cuts[0], -1), (n1, cuts[1], 1))):
+        held, mass = sums[c], sums[2 + c]
+        total, own = _Lookup(contexts, [held, mass])(grams >> tv.U64(8))
+        ratio += sign * np.log(np.where(total > 0, (n - cut + own * shared) / np.maximum(total, 1), shared))
+        back += sign * np.log(np.where(held > 0, mass / np.maximum(held, 1), 1))
+    return Model(_Table(grams, ratio, n0 + n1), _Table(contexts, back, sums[0] + sums[1]))
 
 
 def _logistic(x: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> tuple[float, float]:
@@ -262,10 +260,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, test_fold: int = 2
     grams = rows.where(fold != curve_fold).select("text", "label").mapInArrow(_count, "gram long, n0 long, n1 long")
     grams = grams.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counted = grams.toArrow()
-    batch = pa.RecordBatch.from_arrays([pa.array(np.asarray(counted[c])) for c in ("gram", "n0", "n1")], ["gram", "n0", "n1"])
+    model = _build(np.asarray(counted["gram"]).view(np.uint64), np.asarray(counted["n0"]), np.asarray(counted["n1"]))
     del counted
-    roles = zip((_CONTEXT, *CHAIN, ORDER), _roles(batch), strict=True)
-    model = _build({k: (np.asarray(r["id"]).view(np.uint64), [np.asarray(r[c]) for c in _COUNTS]) for k, r in roles})
     shared = spark.sparkContext.broadcast(model)
     curve = rows.where(fold == curve_fold).select("text", "label").mapInArrow(_margin_rows(shared), "bin long, n0 long, n1 long")
     curve = curve.groupBy("bin").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
@@ -282,8 +278,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """One row per input row: doc_id, score, margin, predicted.
 
     Null, empty and wordless texts have margin 0 and the score of an average text without evidence
-    (below the threshold unless most training texts are toxic).  Repeated rows are scored alike; no
-    other column is read.  Without usable labels every score is the fixed low prior.
+    (below the threshold unless most training texts are toxic).  A text of any length is scored whole.
+    Repeated rows are scored alike to the last bit; no other column is read.  Without usable labels
+    every score is the fixed low prior.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
