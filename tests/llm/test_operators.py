@@ -211,6 +211,29 @@ def test_decontamination_equals_brute_force(spark, block):
     assert [got[k] for k in range(len(texts))] == [brute_marks(t, items) for t in texts]
 
 
+def test_windows_are_compared_by_bytes(spark):
+    x, y = thue_morse(1024, "a", "b"), thue_morse(1024, "b", "a")
+    bench = spark.createDataFrame([(1, f"{x} two three"), (2, "é one ß")], "item_id long, text string")
+    texts = [f"so {x.upper()} Two-three", f"so {y} two three", "É one ß", "é one ß", None]
+    got = {r.doc_id: (r.n_hit, r.contaminated) for r in decontaminate.digest(decontaminate.mark(docs_of(spark, texts), bench)).collect()}
+    assert got == {0: (3, True), 1: (0, False), 2: (0, False), 3: (3, True), 4: (0, False)}
+    ((_, _, data, offsets),) = textvec.chunks(pa.array([f"{y} two three"]))
+    words = decontaminate.Words.of(data, offsets)
+    ((block,),) = [list(decontaminate.item_windows([("1", f"{x} two three")]))]
+    forged = [(block[0][0], words.hashes, block[0][2])]
+    counts = {3: (tv_grams := textvec.ngrams(words.hashes, 3), np.zeros(len(tv_grams), np.int64))}
+    assert not len(decontaminate.find_windows(decontaminate.build_index(forged, counts), words)[0])
+
+
+def test_clean_rows_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "one two three", 5), (2, "none", 6), (2, "none", 6)], "doc_id long, text string, dc_hits int")
+    bench = spark.createDataFrame([(1, "two three")], "item_id long, text string")
+    assert sorted(tuple(r) for r in decontaminate.keep_clean(docs, bench).collect()) == [(2, "none", 6)] * 2
+    assert decontaminate.keep_clean(docs.limit(0), bench).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.mark(docs, bench)
+
+
 def test_decontamination_without_items(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontaminate.digest(decontaminate.mark(docs_of(spark, ["a b", None]), none)).collect()] == [False, False]
