@@ -281,7 +281,7 @@ def test_base_spans_equal_the_rules():
 
 def test_tagger_finds_loose_forms_and_windows_without_anchor_add_nothing():
     tagger = pii.trained()
-    rng = np.random.default_rng(5)
+    rng = random.Random(5)
     made = [pii._sentence(rng) for _ in range(150)]
     texts = [t for t, _ in made] + ["", "no digits here " * 30]
     some, every = pii.find_spans(texts, tagger), pii.find_spans(texts, tagger, every_window=True)
@@ -291,6 +291,74 @@ def test_tagger_finds_loose_forms_and_windows_without_anchor_add_nothing():
     assert hits / gold > 0.85
 
 
+def other_sentences(seed, n):
+    """Labelled sentences of real words, with names, places and endings that training does not have."""
+    rng, out = random.Random(seed), []
+    words = "the please call write to about order number from shipment yesterday your account is attached see below contact us under regarding invoice and meeting with".split()
+    names, places = "emma olivia noah liam jacques hans pierre yuki chen omar".split(), "hotmail protonmail icloud siemens orange bbc nasa startup".split()
+    number = lambda k: "".join(rng.choices("0123456789", k=k))
+    for _ in range(n):
+        text, spans = "", []
+        for _ in range(rng.randint(1, 4)):
+            text += "".join(w + " " for w in rng.choices(words, k=rng.randint(0, 8)))
+            kind = rng.randrange(-2, 4)
+            if kind == 0:
+                value = rng.choice(names) + rng.choice([".", "_", ""]) + rng.choice(names) + rng.choice([" @ ", " @", "@ "]) + rng.choice(places) + rng.choice([".", " . ", " ."]) + rng.choice("com org de fr it nl jp eu".split())
+            elif kind == 1:
+                value = rng.choice([" . ", " .", ". ", "[.]"]).join(str(rng.randrange(256)) for _ in range(4))
+            elif kind == 2:
+                digits = pii._luhn_number(rng, 16)
+                value = rng.choice([".", "  ", " - "]).join(digits[k : k + 4] for k in range(0, 16, 4))
+            elif kind == 3:
+                value = rng.choice([f"{number(3)}-{number(3)}-{number(4)}", f"({number(3)}) {number(3)}-{number(4)}", f"{number(3)}.{number(3)}.{number(4)}", f"1-{number(3)}-{number(3)}-{number(4)}", f"{number(3)} {number(3)} {number(4)}"])
+            else:
+                value = rng.choice([number(rng.randint(1, 8)), f"20{number(2)}-0{rng.randint(1, 9)}-1{number(1)}", f"{number(2)}:{number(2)}", f"v{rng.randint(1, 9)}.{rng.randint(1, 20)}.{number(2)}", rng.choice(words)])
+            if kind >= 0:
+                spans.append((len(text), len(text) + len(value), pii.KINDS[kind]))
+            text += value + rng.choice([" ", ", ", ". "])
+            text += " " * (text[-1] != " ")
+        out.append((text, spans))
+    return out
+
+
+def test_tagger_on_forms_of_another_making():
+    made = other_sentences(3, 400)
+    found = pii.find_spans([t for t, _ in made], pii.trained())
+    for kind in pii.KINDS:
+        base = {(i, s, e) for i, (b, _) in enumerate(found) for s, e, k in b if k == kind}
+        gold = {(i, s, e) for i, (_, spans) in enumerate(made) for s, e, k in spans if k == kind} - base
+        added = {(i, s, e) for i, (_, a) in enumerate(found) for s, e, k in a if k == pii.LOOSE + kind}
+        assert len(gold) > 100 and len(added & gold) >= 0.9 * len(gold) and len(added & gold) >= 0.9 * len(added), kind
+    alone = ["john.smith @ gmail.com", "anna.kowalska@firma . pl", "743-555-3824"]
+    assert [[(s, e) for s, e, _ in a] for _, a in pii.find_spans(alone, pii.trained())] == [[(0, len(t))] for t in alone]
+
+
+def test_decoding_is_the_best_legal_path():
+    tagger = pii.Tagger(5)
+    x = np.random.default_rng(6).integers(1, pii.CLASSES, (4, 4))
+    path, e = tagger.decode(x)
+    trans, first = tagger.trans + pii._PAIRS, tagger.first + pii._FIRST
+    for n in range(len(x)):
+        total = lambda p: first[p[0]] + sum(e[t, n, c] for t, c in enumerate(p)) + sum(trans[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        assert total(path[n]) == pytest.approx(max(map(total, itertools.product(range(pii.LABELS), repeat=4))), abs=1e-4)
+
+
+def test_many_spans_in_one_text_take_linear_time():
+    import time
+
+    took = []
+    for n in (2_000, 8_000):
+        text = " or ".join(f"{200 + k % 700}-555-{1000 + k % 9000} and mail a{k}@b.co" for k in range(n))
+        start = time.process_time()
+        ((base, added),) = pii.find_spans([text], pii.trained())
+        took.append(time.process_time() - start)
+        assert len(base) == n and len(added) >= 0.9 * n
+    assert took[1] < 8 * took[0] + 1
+    ranges = [(float(k % 97), 20 * k, 20 * k + 12, 3) for k in range(100_000)]
+    start = time.process_time()
+    assert len(pii._reconciled("743-555-3824 or the " * 100_000, ranges)) == 100_000 and time.process_time() - start < 20
+
+
 def test_tagger_gradient():
     tagger = pii.Tagger()
     x, y = pii.labelled_windows(3, 1)

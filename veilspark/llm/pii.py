@@ -14,6 +14,9 @@ labelled sentences made from templates with a fixed seed, so a model is the same
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import random
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -28,7 +31,7 @@ from .common import keyed_text, map_batches
 
 KINDS = ("email", "ip", "card", "phone")
 LOOSE = "loose_"
-T, STRIDE, HIDDEN, BATCH = 96, 48, 16, 1024
+T, STRIDE, HIDDEN, BATCH = 96, 48, 24, 1024
 _ORDER = {k: n for n, k in enumerate([*KINDS, *(LOOSE + k for k in KINDS)])}
 
 # ---------------------------------------------------------------- base rules
@@ -145,16 +148,21 @@ def _lstm(table, u, x, keep=False):
 
 
 def _lstm_back(u, x, kept, dout):
-    dtable, du = np.zeros((CLASSES, 4 * HIDDEN), np.float32), np.zeros_like(u)
+    du, dgs = np.zeros_like(u), np.empty((x.shape[1], x.shape[0], 4 * HIDDEN), np.float32)
     dh = dc = np.zeros((x.shape[0], HIDDEN), np.float32)
     for t in range(x.shape[1] - 1, -1, -1):
         before_h, before_c, i, f, o, z, tc = kept[t]
         dh = dh + dout[t]
         dc = dc + dh * o * (1 - tc * tc)
         dg = np.concatenate((dc * z * i * (1 - i), dc * before_c * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - z * z)), 1)
-        np.add.at(dtable, x[:, t], dg)
+        dgs[t] = dg
         du += before_h.T @ dg
         dh, dc = dg @ u.T, dc * f
+    at = x.T.ravel()
+    order = np.argsort(at, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(at[order]) > 0])
+    dtable = np.zeros((CLASSES, 4 * HIDDEN), np.float32)
+    dtable[at[order][starts]] = np.add.reduceat(dgs.reshape(-1, 4 * HIDDEN)[order], starts)
     return dtable, du
 
 
@@ -202,34 +210,35 @@ class Tagger:
         e, h, kf, kb = self.emissions(x, True)
         steps, n, _ = e.shape
         trans, first = (self.trans + _PAIRS).astype(np.float64), (self.first + _FIRST).astype(np.float64)
-        lse = lambda a, axis: a.max(axis) + np.log(np.exp(a - a.max(axis, keepdims=True)).sum(axis))
-        alpha, beta = np.empty((steps, n, LABELS)), np.zeros((steps, n, LABELS))
-        alpha[0] = first + e[0]
-        for t in range(1, steps):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + trans, 1) + e[t]
+        # Forward and backward sums as probabilities, scaled to one at each step.
+        top = e.max(2).astype(np.float64)
+        p, move = np.exp(e - top[:, :, None]), np.exp(trans)
+        alpha, beta, scale = np.empty(e.shape), np.ones(e.shape), np.empty((steps, n))
+        for t in range(steps):
+            a = p[t] * (np.exp(first) if t == 0 else alpha[t - 1] @ move)
+            scale[t] = a.sum(1)
+            alpha[t] = a / scale[t][:, None]
         for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans + (e[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = lse(alpha[-1], 1)
+            beta[t] = (p[t + 1] * beta[t + 1] / scale[t + 1][:, None]) @ move.T
+        z = (np.log(scale) + top).sum(0)
         rows, yt = np.arange(n), y.T
         gold = first[yt[0]] + sum(e[t, rows, yt[t]] for t in range(steps)) + sum(trans[yt[t - 1], yt[t]] for t in range(1, steps))
-        de = np.exp(alpha + beta - z[None, :, None])
+        de = alpha * beta
         dfirst = de[0].sum(0)
-        dtrans = np.zeros((LABELS, LABELS))
+        dtrans = move * np.einsum("tnk,tnl->kl", alpha[:-1], p[1:] * beta[1:] / scale[1:, :, None], optimize=True)
         for t in range(1, steps):
-            pair = alpha[t - 1][:, :, None] + trans + (e[t] + beta[t])[:, None, :] - z[:, None, None]
-            dtrans += np.exp(pair).sum(0)
             np.subtract.at(dtrans, (yt[t - 1], yt[t]), 1)
         np.subtract.at(dfirst, yt[0], 1)
         de[np.arange(steps)[:, None], rows[None, :], yt] -= 1
         de[(x == 0).T] = 0
         de = (de / n).astype(np.float32)
-        grads = {"w": np.einsum("tnh,tnl->hl", h, de), "b": de.sum((0, 1)), "trans": (dtrans / n).astype(np.float32), "first": (dfirst / n).astype(np.float32)}
+        grads = {"w": np.einsum("tnh,tnl->hl", h, de, optimize=True), "b": de.sum((0, 1)), "trans": (dtrans / n).astype(np.float32), "first": (dfirst / n).astype(np.float32)}
         dh = de @ self.w.T
         grads["table_f"], grads["u_f"] = _lstm_back(self.u_f, x, kf, dh[:, :, :HIDDEN])
         grads["table_b"], grads["u_b"] = _lstm_back(self.u_b, x[:, ::-1], kb, dh[::-1, :, HIDDEN:])
         return float((z - gold).mean()), grads
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.01, batch: int = 64, seed: int = 4) -> float:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int, rate: float = 0.02, batch: int = 128, seed: int = 4) -> float:
         """Adam; returns the last epoch's mean loss."""
         rng, step, mean = np.random.default_rng(seed), 0, 0.0
         m = {k: np.zeros_like(getattr(self, k)) for k in self.NAMES}
@@ -255,44 +264,81 @@ class Tagger:
 # ---------------------------------------------------------------- labelled sentences
 
 
-def _luhn_number(rng, n: int) -> str:
-    body = "".join(map(str, rng.integers(0, 10, n - 1)))
+def _luhn_number(rng: random.Random, n: int) -> str:
+    body = _digit_word(rng, n - 1)
     return next(body + d for d in "0123456789" if luhn(body + d))
 
 
-def _sentence(rng) -> tuple[str, list[tuple[int, int, int]]]:
-    """A made sentence and its labelled spans (start, end, kind)."""
-    word = lambda: "".join(rng.choice(["an", "th", "er", "on", "re", "st", "la", "ve", "qu", "ich", "de", "o", "mi", "é"], rng.integers(1, 5)))
-    number = lambda n: "".join(map(str, rng.integers(0, 10, n)))
-    pick = lambda *options: options[rng.integers(len(options))]
+_SYLLABLES = "an th er on re st la ve qu ich de o mi é ka ri jo sm ow bu te ni sch ß pa lu ga no do".split()
+_NAMES = "john anna maria peter sales info support kowalska smith jones mueller lee ivanova garcia team billing office".split()
+_PLACES = "gmail firma yahoo mail corp uni acme outlook web post example shop".split()
+_ENDINGS = "com org net example pl de io fr edu gov co uk ru es info biz".split()
+
+
+def _digit_word(rng: random.Random, n: int) -> str:
+    return "".join(rng.choices("0123456789", k=n))
+
+
+def _word(rng: random.Random) -> str:
+    """A word of syllables, at times a very long one, a first or a place name, or letters in any order."""
+    kind = rng.random()
+    if kind < 0.4:
+        return "".join(rng.choices(_SYLLABLES, k=rng.randint(1, 4) if kind < 0.25 else rng.randint(5, 12)))
+    if kind < 0.6:
+        return rng.choice(_NAMES + _PLACES)
+    return "".join(rng.choice("aeiouy") if k % 2 and kind < 0.8 else rng.choice("abcdefghijklmnopqrstuvwxyz") for k in range(rng.randint(2, 10)))
+
+
+def _value(rng: random.Random, kind: int) -> str:
+    """A value of a kind, in its strict or a loose form; kinds below 0 are what is none."""
+    word = lambda: _word(rng)
+    number = lambda n: _digit_word(rng, n)
+    pick = lambda *options: rng.choice(options)
+    if kind == 0:
+        who, where = word(), word()
+        who += pick("", "", "." + word(), "." + word(), number(2), "_" + word(), "-" + word())
+        at, dot = pick("@", " @ ", " @ ", "@ ", " @"), pick(".", ".", " . ", " .", ". ")
+        return who + at + where + pick("", "", number(1), "-" + word(), dot + word()) + dot + pick(rng.choice(_ENDINGS), rng.choice(_ENDINGS), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 3))))
+    if kind == 1:
+        return pick(".", ".", " . ", " .", ". ", "[.]").join(str(rng.randrange(256)) for _ in range(4))
+    if kind == 2:
+        digits, gap = _luhn_number(rng, rng.randint(14, 19)), pick("", " ", "-", ".", "  ", " - ", "/")
+        return gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    if kind == 3:
+        a, b, c = number(3), number(3), number(4)
+        body = pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b} {c}", f"{a}/{b}-{c}", f"{a}-{b} {c}", f"({a})-{b}-{c}", f"0{a}/{b}{number(2)}-{number(2)}")
+        return pick("+1 ", "+49 ", "", "", "", "001 ", "1-", "1 ", "(+1) ") + body
+    a, b, c = str(rng.randint(2, 12)), number(2), number(3)
+    return pick(
+        f"{number(4)}-{b}-{number(2)}", number(rng.randint(1, 8)), f"{b}:{number(2)}", f"{b}.{number(2)}", f"v{a}.{b}.{c}", f"{c},{number(3)}", f'token = "{"".join(rng.choices("0123456789abcdef", k=40))}"',
+        number(20), f"@{word()}", f"{word()} @ {b}:{number(2)}", f"#{number(5)}", f"{number(4)} | {c} | {number(4)} | {number(3)}", f"{a}.{number(1)}", f"{number(4)}/{b}/{number(2)}", f"{a} {b} {c}", f"{c}-{number(2)}", f"{word()}@{word()}", f"${a},{c}.{b}", f"({number(4)})",
+    )
+
+
+def _sentence(rng: random.Random) -> tuple[str, list[tuple[int, int, int]]]:
+    """A made sentence and its labelled spans (start, end, kind); some hold hardly more than one value."""
+    word = lambda: _word(rng)
+    pick = lambda *options: rng.choice(options)
     text, spans = "", []
-    for _ in range(rng.integers(6, 16)):
-        text += word() + pick(" ", " ", " ", ", ", ".\n", " ")
-        if rng.random() > 0.3:
+    short = rng.random() < 0.25
+    for _ in range(rng.randint(1, 2) if short else rng.randint(6, 13)):
+        for _ in range(rng.randint(0, 1 if short else 3)):
+            text += word() + pick(" ", " ", " ", ", ", ".\n", ": ", " ")
+        if rng.random() > 0.6 and not short:
             continue
-        kind = int(rng.integers(-3, 4))
-        if kind == 0:
-            at, dot = pick("@", "@", " @ ", "@ ", " @"), pick(".", ".", " . ")
-            value = word() + pick("", "." + word(), number(2), "_" + word()) + at + word() + pick("", number(1)) + pick("", dot + word()) + dot + pick("com", "org", "net", "example")
-        elif kind == 1:
-            value = pick(".", ".", " . ", " .", ". ", "[.]").join(str(n) for n in rng.integers(0, 256, 4))
-        elif kind == 2:
-            digits, gap = _luhn_number(rng, int(rng.integers(14, 20))), pick("", " ", "-", ".", "  ", " - ")
-            value = gap.join(digits[k : k + 4] for k in range(0, len(digits), 4))
-        elif kind == 3:
-            a, b, c = number(3), number(3), number(4)
-            value = pick("+1 ", "+49 ", "", "", "001 ", "1-") + pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"({a}){b} {c}", f"{a}/{b}-{c}")
-        else:
-            value = pick(f"{number(4)}-{number(2)}-{number(2)}", number(int(rng.integers(1, 9))), f"{number(2)}:{number(2)}", f"{number(2)}.{number(2)}", f"v{number(1)}.{number(1)}.{number(2)}", f"{number(3)},{number(3)}", f'token = "{"".join(rng.choice(list("0123456789abcdef"), 40))}"', f"{number(20)}", f"@{word()}", f"#{number(5)}", f"{number(4)} | {number(3)} | {number(4)} | {number(3)}", f"{number(1)}.{number(1)}")
+        kind = rng.choice((-3, -2, -1, 0, 0, 0, 1, 2, 3, 3))
+        value = _value(rng, kind)
         if kind >= 0:
             spans.append((len(text), len(text) + len(value), kind))
-        text += value + pick(" ", ", ", ". ", "\n", ") ", "; ", " ")
-    return text, spans
+        text += value + pick(" ", ", ", ". ", "\n", ") ", "; ", " ", "")[: 1 + (rng.random() < 0.5)]
+        if text and not text[-1].isspace():
+            text += " "
+    return (text.rstrip(), spans) if rng.random() < 0.3 else (text, spans)
 
 
 def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """n windows of classes and labels, cut at random places of made sentences."""
-    rng = np.random.default_rng(seed)
+    rng = random.Random(seed)
     x, y = np.zeros((n, T), np.int64), np.zeros((n, T), np.int64)
     for k in range(n):
         text, spans = _sentence(rng)
@@ -300,14 +346,14 @@ def labelled_windows(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         for s, e, kind in spans:
             labels[s:e] = 2 + 2 * kind
             labels[s] = 1 + 2 * kind
-        at = int(rng.integers(0, max(1, len(text) - T // 2)))
+        at = rng.randrange(max(1, len(text) - T // 2))
         part = codes(text)[at : at + T]
         x[k, : len(part)], y[k, : len(part)] = part, labels[at : at + T]
     return x, y
 
 
 @cache
-def trained(windows: int = 3000, epochs: int = 7, seed: int = 11) -> Tagger:
+def trained(windows: int = 7000, epochs: int = 8, seed: int = 11) -> Tagger:
     """The tagger of these parameters, trained once in a process."""
     tagger = Tagger()
     tagger.fit(*labelled_windows(windows, seed), epochs)
@@ -332,6 +378,17 @@ def plausible(value: str, kind: str) -> bool:
     return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"[+0-9(][0-9() ./-]*[0-9]", value)) and len(re.findall("[0-9]+", value)) >= 3
 
 
+#: digits of the longest value of a kind
+_MOST_DIGITS = {"ip": 12, "card": 19, "phone": 15}
+
+
+def hopeless(piece: str, kind: str) -> bool:
+    """Whether no value of the kind can hold this piece, however the text goes on around it."""
+    if kind == "email":
+        return piece.count("@") > 1 or sum(c.isspace() for c in piece) > 4
+    return sum("0" <= c <= "9" for c in piece) > _MOST_DIGITS[kind]
+
+
 def _window_spans(path: np.ndarray, e: np.ndarray, column: int, start: int, length: int) -> tuple[list, list]:
     """(margin, start, end, kind) of one decoded window: the whole spans, and those cut by an inner edge."""
     whole, cut, t, row, end = [], [], 0, path, len(path)
@@ -372,6 +429,18 @@ def _decoded(tagger: Tagger, coded: list[np.ndarray], places: list[tuple[int, in
             yield r, a, b, *_window_spans(path[n, : b - a], e, n, a, len(coded[r]))
 
 
+class _Cover:
+    """Whether a span lies inside one of some spans."""
+
+    def __init__(self, spans: list[tuple[float, int, int, int]]):
+        ordered = sorted((s, e) for _, s, e, _ in spans)
+        self.starts, self.ends = [s for s, _ in ordered], list(itertools.accumulate((e for _, e in ordered), max))
+
+    def covers(self, span: tuple[float, int, int, int]) -> bool:
+        k = bisect.bisect_right(self.starts, span[1])
+        return k > 0 and self.ends[k - 1] >= span[2]
+
+
 def _grown(regions: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
     """The regions with as much text again on either side, those that then meet as one."""
     out: list[tuple[int, int]] = []
@@ -386,7 +455,9 @@ def _grown(regions: list[tuple[int, int]], length: int) -> list[tuple[int, int]]
 def tag_texts(texts: list[str], tagger: Tagger, every_window: bool = False) -> list[list[tuple[int, int, str]]]:
     """Loose spans (start, end, kind) of each text, reconciled over its windows, in order.
 
-    Where all windows cut a span, larger and larger ones are decoded until one holds the whole of it.
+    Where all windows cut a span, larger and larger ones are decoded until one holds the whole of it,
+    unless the piece seen is already more than a value of its kind can hold.  Time is linear in the text
+    but for spans that go on and on.
     """
     coded = [codes(t) for t in texts]
     anchors = [_anchors(c) for c in coded]
@@ -402,31 +473,50 @@ def tag_texts(texts: list[str], tagger: Tagger, every_window: bool = False) -> l
     while cuts:
         places = []
         for r, cut in cuts.items():
-            held = lambda c: any(s <= c[1] and c[2] <= e and k == c[3] for _, s, e, k in found[r])  # noqa: B023, E731
+            inside = [_Cover([f for f in found[r] if f[3] == kind]) for kind in range(len(KINDS))]
             # What has no anchor is no span; the windows that see one report the cut as well.
-            alone = {(a, b) for a, b, c in cut if not held(c) and np.searchsorted(anchors[r], c[1]) < np.searchsorted(anchors[r], c[2])}
+            alone = {(a, b) for a, b, c in cut if not inside[c[3]].covers(c) and np.searchsorted(anchors[r], c[1]) < np.searchsorted(anchors[r], c[2]) and not hopeless(texts[r][c[1] : c[2]], KINDS[c[3]])}
             places += [(r, a, b) for a, b in _grown(sorted(alone), len(coded[r]))]
-        cuts = {}
+        cuts, long = {}, {}
         for r, a, b, whole, cut in _decoded(tagger, coded, places):
             for c in whole:
-                # What a smaller window took for a whole span is a part of this one.
                 if c[2] - c[1] >= STRIDE and plausible(texts[r][c[1] : c[2]].strip(" \n.,;:"), KINDS[c[3]]):
-                    found[r] = [f for f in found[r] if f[1] < c[1] or c[2] < f[2]] + [c]
+                    long.setdefault(r, []).append(c)
             if cut:
                 cuts.setdefault(r, []).extend((a, b, c) for c in cut)
+        for r, spans in long.items():
+            # What a smaller window took for a whole span is a part of one of these.
+            cover = _Cover(spans)
+            found[r] = [f for f in found[r] if not cover.covers(f)] + spans
     return [_reconciled(text, spans) for text, spans in zip(texts, found)]
 
 
+class _Taken:
+    """Which characters of a text are taken; a test costs the length of the span."""
+
+    def __init__(self, length: int, spans=()):
+        self.marks = bytearray(length)
+        for s, e, _ in spans:
+            self.take(s, e)
+
+    def take(self, s: int, e: int) -> None:
+        self.marks[s:e] = b"\1" * (e - s)
+
+    def free(self, s: int, e: int) -> bool:
+        return self.marks.find(1, s, e) < 0
+
+
 def _reconciled(text: str, spans: list[tuple[float, int, int, int]]) -> list[tuple[int, int, str]]:
-    """Of overlapping candidates the one with the largest margin; only values that are plausible."""
-    out: list[tuple[int, int, str]] = []
+    """Of overlapping candidates the one with the largest margin; only values that are plausible.  Linear in the text."""
+    out, taken = [], _Taken(len(text) if spans else 0)
     for _, s, e, kind in sorted(set(spans), key=lambda x: (-round(x[0], 3), x[1], x[2], x[3])):
         while s < e and text[s].isspace():
             s += 1
         while s < e and text[e - 1] in " \n.,;:":
             e -= 1
         value = text[s:e]
-        if any(c == "@" or "0" <= c <= "9" for c in value) and plausible(value, KINDS[kind]) and all(e <= a or b <= s for a, b, _ in out):
+        if any(c == "@" or "0" <= c <= "9" for c in value) and taken.free(s, e) and plausible(value, KINDS[kind]):
+            taken.take(s, e)
             out.append((s, e, KINDS[kind]))
     return sorted(out)
 
@@ -436,8 +526,8 @@ def find_spans(texts: list[str], tagger: Tagger, every_window: bool = False) ->
     out = []
     for text, tagged in zip(texts, tag_texts(texts, tagger, every_window)):
         base = base_spans(text)
-        added = [(s, e, LOOSE + kind) for s, e, kind in tagged if all(e <= a or b <= s for a, b, _ in base)]
-        out.append((base, added))
+        taken = _Taken(len(text) if tagged else 0, base if tagged else ())
+        out.append((base, [(s, e, LOOSE + kind) for s, e, kind in tagged if taken.free(s, e)]))
     return out
 
 
