@@ -535,6 +535,23 @@ def test_mixing_meets_its_targets(spark):
     assert sorted(zip(out.doc_id, out.mix_copy)) == sorted(zip(again.doc_id, again.mix_copy))
 
 
+def test_mixing_at_large_rates_and_of_one_id(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, "x" * 10, "s") for k in range(40)] + [(None, "y" * 10, "s")] * 40, "doc_id long, text string, source string")
+    out = mixing.mix(docs, budget=300.0).groupBy("doc_id").count().collect()
+    counts = {r["doc_id"]: r["count"] for r in out}
+    assert len(counts) == 41 and counts[None] % 40 == 0 and all(200 < n < 400 for k, n in counts.items() if k is not None)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables this small would be put together again
+    try:
+        spread = mixing.mix(docs.where("doc_id IS NULL"), budget=50.0).withColumn("p", F.spark_partition_id()).groupBy("p").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(spread) > 1
+    rows = spark.createDataFrame([([0.1 * k for k in range(n)], u) for n in (1, 64, 65, 200) for u in (-1.0, 0.0, 0.05, 6.4, 50.0)], "t array<double>, u double")
+    assert all(r.n == sum(c <= r.u for c in r.t) for r in rows.select("t", "u", mixing._below(F.col("t"), F.col("u")).alias("n")).collect())
+
+
 def test_mixing_edges(spark):
     docs = docs_of(spark, EDGES + ["text"] * 3, [*range(len(EDGES)), None, 1, 1])
     out = mixing.mix(docs, budget=0.01)

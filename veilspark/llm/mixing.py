@@ -17,6 +17,8 @@ from .common import Stages
 #: so many sources at most are broadcast with their rates (about 30 MB); more are joined on salted keys
 RATES_TO_SEND = 100_000
 SALTS = 64
+#: a table of more entries is searched by halves
+LONG_TABLE = 64
 UNIFORM_DIGITS = 12
 
 
@@ -65,7 +67,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
     get none; None: equal shares); ``budget`` is the output's expected size over the input's.  A
     null source counts as the source ``''``; sources whose texts are all null or empty have no mass
     and are left out; an empty text in any other source is drawn like the rest.  Rows of equal id
-    are drawn alike, null ids as one id.  Columns of docs named mix_copy or mix_key are replaced.
+    are drawn alike, null ids as one id; texts of any length are copied whole.  An empty table gives
+    an empty result.  Columns of docs named mix_copy or mix_key are replaced.
     """
     docs = docs.drop("mix_copy", "mix_key")
     columns = [f"c{k}" for k in range(len(docs.columns))]
@@ -80,8 +83,23 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, budget: float
         rows = rows.withColumn("mix_salt", F.pmod(F.xxhash64(id_col), F.lit(SALTS)))
         rows = rows.join(table.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["mix_source", "mix_salt"])
     u = uniform(seed, F.col(id_col))
-    copies = F.size(F.filter("mix_table", lambda c: c <= F.col("mix_u")))
-    rows = rows.withColumn("mix_u", u).withColumn("mix_n", copies).where("mix_n > 0")
-    rows = rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
-    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_copy"))
-    return rows.withColumn("mix_key", key).repartition("mix_key").sortWithinPartitions("mix_key").toDF(*names, "mix_copy", "mix_key")
+    rows = rows.withColumn("mix_u", u).withColumn("mix_n", _below(F.col("mix_table"), F.col("mix_u"))).where("mix_n > 0")
+    # Rows of one id, null above all, may be a third of all rows: their place in the table deals them out as well.
+    rows = rows.select(*columns, F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).alias("mix_salt"))
+    rows = rows.withColumn("mix_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("mix_copy")))
+    rows = rows.repartition("mix_key", "mix_salt").sortWithinPartitions("mix_key", "mix_salt")
+    return rows.drop("mix_salt").toDF(*names, "mix_copy", "mix_key")
+
+
+def _below(table: Column, u: Column) -> Column:
+    """How many entries of a sorted array are u or less; a long array is searched by halves."""
+
+    def halve(s, _):
+        mid = ((s["lo"] + s["hi"]) / 2).cast("int")
+        up = F.element_at(table, mid + 1) <= u
+        step = F.struct(F.when(up, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(up, s["hi"]).otherwise(mid).alias("hi"))
+        return F.when(s["lo"] < s["hi"], step).otherwise(s)
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(table) + F.lit(1.0))).cast("int") + 1)
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(table).alias("hi")), halve, lambda s: s["lo"])
+    return F.when(F.size(table) > LONG_TABLE, found).otherwise(F.size(F.filter(table, lambda c: c <= u)))
