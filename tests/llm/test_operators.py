@@ -90,8 +90,10 @@ def near_copies(seed, groups=12, size=14):
     return texts
 
 
-def test_near_duplicates_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("tangle", [4096, 1])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, tangle):
     monkeypatch.setattr(near_dup, "BLOCK", 4)
+    monkeypatch.setattr(near_dup, "TANGLE", tangle)
     texts = near_copies(3) + EDGES[:5] + ["word", "Word"]
     got = {r.doc_id: r for r in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
     sets = brute_sets(texts)

@@ -381,7 +381,8 @@ def _resolve_tangles(stages: Stages, at: DataFrame, labels: DataFrame, classes:
     mixed = stages.write(at.join(mixed, "at").select("at", "hub", "nid"), "mixed-at")
     tangle = components(stages, mixed.select(F.col("hub").alias("a"), F.col("nid").alias("b")), "tangle")
     members = tangle.select(F.col("node").alias("nid"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "tangle", F.coalesce("root", "nid").alias("root"))
-    members = stages.write(members.join(sets, "nid").withColumn("size", F.octet_length("nd_set") / 8), "members")
+    members = members.join(sets, "nid").join(classes.select("nid", "nd_sig"), "nid")
+    members = stages.write(members.withColumn("size", F.octet_length("nd_set") / 8), "members")
     size = members.groupBy("tangle").agg(F.count("*").alias("held"))
     wide = stages.write(size.where(F.col("held") > TANGLE).select("tangle"), "wide")
     narrow = members.join(wide, "tangle", "left_anti").select(F.struct(F.lit(0).alias("kind"), F.col("tangle").alias("key")).alias("cell"), "nid", "size")
@@ -391,7 +392,7 @@ def _resolve_tangles(stages: Stages, at: DataFrame, labels: DataFrame, classes:
     placed = cells.join(stages.write(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
     dealt = placed.select("cell", "nid", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    dealt = dealt.join(members.select("nid", "root", "nd_set"), "nid").join(classes.select("nid", "nd_sig"), "nid")
+    dealt = dealt.join(members.select("nid", "root", "nd_set", "nd_sig"), "nid")
     return dealt.groupBy("cell", "lo", "hi").applyInPandas(_block_links(percent, tuples), "a long, b long")
 
 
