@@ -503,16 +503,38 @@ def test_chat_round_trip(spark):
     emitted = nodes.collect()
     prefixes = {tuple(t[: k + 1]) for t in expected.values() for k in range(len(t))}
     assert len(emitted) == len(prefixes)
+    named = {n.node: n for n in emitted}
+
+    def ancestors(n):
+        return [*ancestors(named[n.parent]), named[n.parent]] if n.parent else []
+
     for tree in {n.tree for n in emitted}:
         at = 0
-        for n in sorted((n for n in emitted if n.tree == tree), key=lambda n: n.path):
+        for n in sorted((n for n in emitted if n.tree == tree), key=lambda n: [*(m.node for m in ancestors(n)), n.node]):
             assert n.start == at and n.end == at + len(n.formatted)
-            above = [m for m in emitted if n.path.startswith(m.path) and m.path != n.path]
+            above = ancestors(n)
+            assert len(above) == n.depth
             covered = {c for s in n.attends for c in range(s.start, s.end)}
             assert covered == {c for m in above for c in range(m.start, m.end)} and n.position == len(covered)
             at = n.end
 
 
+def test_chat_of_many_turns_and_of_repeated_ones(spark):
+    long, n = [("user" if k % 2 else "assistant", f"turn {k}" * (k % 3)) for k in range(20_000)], 40
+    rows = [(1, k, *t) for k, t in enumerate(long)] + [(2, k, *t) for k, t in enumerate(long[:15_000])]
+    rows += [(100 + c, k, *t) for c in range(n) for k, t in enumerate(long[:2])]
+    # Two rows of one turn number come by role and text; a repeated row is a turn again; a very long text is whole.
+    rows += [(3, 0, "user", "b"), (3, 0, "user", "a"), (3, 0, "user", "a"), (4, 0, "assistant", "<|" * 200_000)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    nodes, leaves = chat.format_conversations(table)
+    got = {r.conv_id: r for r in chat.digest(chat.read_back(nodes, leaves)).collect()}
+    expected = {1: long, 2: long[:15_000], 3: [("user", "a"), ("user", "a"), ("user", "b")], 4: [("assistant", "<|" * 200_000)]} | {100 + c: long[:2] for c in range(n)}
+    assert set(got) == set(expected) and nodes.count() == len(long) + 4
+    for conv, turns in expected.items():
+        assert got[conv].turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        assert got[conv].loss_chars == sum(len(t) for role, t in turns if role == "assistant")
+
+
 def test_chat_of_nothing(spark):
     nodes, leaves = chat.format_conversations(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.count() == 0 and chat.digest(chat.read_back(nodes, leaves)).count() == 0
