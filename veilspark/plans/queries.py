@@ -226,17 +226,17 @@ def _odd_lines(spark, sf_dir) -> DataFrame:
     return lines.unionAll(again).unionAll(other)
 
 
-@query(f"WITH {_chain(_ODD_ROWS)} SELECT nullif(scope, -1) AS scope, line // 3 AS line_no, redacted FROM o")
+@query(f"WITH {_chain(_ODD_ROWS)} SELECT nullif(scope, -1)::VARCHAR AS scope, line // 3 AS line_no, redacted FROM o")
 def redact_odd_lines(spark, sf_dir):
     out, _ = redaction.redact(_odd_lines(spark, sf_dir))
-    return out.select("scope", "line_no", "redacted")
+    return out.select(F.col("scope").cast("string").alias("scope"), "line_no", "redacted")
 
 
-@query(f"WITH {_chain(_ODD_ROWS)} SELECT nullif(scope, -1) AS scope, cat AS category, val AS value, n::BIGINT AS n FROM tk")
+@query(f"WITH {_chain(_ODD_ROWS)} SELECT nullif(scope, -1)::VARCHAR AS scope, cat AS category, val AS value, n::BIGINT AS n FROM tk")
 def vault_wide(spark, sf_dir):
     """The vault of scopes over many rows, numbered by range partitions."""
     _, vault = redaction.redact_lines(_odd_lines(spark, sf_dir).withColumn("spans", pattern_spans(F.col("text"))), wide=True)
-    return vault.select("scope", "category", "value", F.col("n").cast("long").alias("n"))
+    return vault.select(F.col("scope").cast("string").alias("scope"), "category", "value", F.col("n").cast("long").alias("n"))
 
 
 #: the scorer of the two queries below: words with an at sign are addresses, lines over 2,000 characters fail
