@@ -455,8 +455,33 @@ def test_transport_table(spark):
 
 def test_literal_tokens_are_certain():
     tokens = url_filter.literal_tokens
-    assert tokens(r"[?&]utm_(?:source|medium)=") == ["utm"] and tokens(r"/login/") == ["login"]
-    assert tokens(r"login") == [] and tokens(r"/a[0-9]+b/") == [] and tokens(r"[.](?:exe|zip)") == [] and tokens(r"^ads[.]") == ["ads"]
+    assert tokens(r"[?&]utm_(?:source|medium)=") == [["utm", "source"], ["utm", "medium"]] and tokens(r"/login/") == [["login"]]
+    assert tokens(r"login") == [[]] and tokens(r"/a[0-9]+b/") == [[]] and tokens(r"^ads[.]") == [["ads"]]
+    assert tokens(r"[.](?:exe|zip)") == [[], []] and tokens(r"[.](?:exe|zip)(?:[?#]|$)") == [["exe"], ["zip"]]
+    assert tokens(r"/(?:a|bb|c*)/") == [["a"], ["bb"], []] and tokens(r"a|/b/") == [[], ["b"]] and tokens(r"/x(?:y|)/") == [["xy"], ["x"]]
+    many = "/" + "(?:a|bb|cc)" * 6 + "/"
+    assert len(tokens(many)) <= url_filter.WAYS and all(re.search(many, u) for u in ["/abbccaabb/"]) and [] in tokens(many)
+
+
+def test_few_of_many_patterns_run(spark):
+    rng = random.Random(18)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    shapes = ["/{0}/{1}/", "[?&]{0}=[0-9]+", "[.](?:{0}|{1})(?:[?#]|$)", "^https?://{0}[.]", "/(?:{0}|{1}-[a-z]+)/"]
+    patterns = [url_filter.Pattern(rng.choice(["block", "allow"]), shapes[k % 5].format(word(), word())) for k in range(600)]
+    names = [w for p in patterns for w in re.findall("[a-h]{5}", p.regex)]
+    parts = ["http://", "https://", "/", "?", "&", "=7", ".", "-x", "#", "www.site.org"]
+    urls = ["http://" + "".join(rng.choice(parts) + (rng.choice(names) if rng.random() < 0.5 else "") for _ in range(8)) for _ in range(1000)]
+    for p in patterns:
+        own = re.findall("[a-h]{5}", p.regex)
+        urls.append("http://x.org" + rng.choice(["/{0}/{1}/", "?{0}=5", ".{0}#", "/{0}/", "/a{0}/"]).format(own[0], own[-1]))
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = url_filter.judge_urls(pages, [], patterns).collect()
+    fitting = 0
+    for r in rows:
+        first = next((p.verdict for p in patterns if re.search(p.regex, urls[r.page_id])), None)
+        fitting += first is not None
+        assert r.verdict == (first or "allow")
+    assert fitting > 100 and max(r.patterns_run for r in rows) < 60
 
 
 def test_url_filter_equals_running_every_pattern(spark):

@@ -1,9 +1,10 @@
 """URL filtering: host-and-path rules, then pattern rules indexed by their rarest literal token.
 
 A pattern can match only URLs that hold its literal tokens: runs of letters and digits in the
-pattern that must stand between other characters.  Each pattern is filed under the one of its
-tokens that is rarest in the table's URLs; a URL's own tokens fetch the patterns filed under them
-and only those run their regular expression.  Patterns without such a token run on every URL.
+pattern that must stand between other characters.  A pattern with alternatives is spelt out into the
+ways it can match.  Each way is filed under the one of its tokens that is rarest in the table's URLs; a
+URL's own tokens fetch the patterns filed under them and only those run their regular expression.
+Patterns with a way that has no such token run on every URL.
 """
 
 from __future__ import annotations
@@ -43,17 +44,15 @@ class Pattern:
     regex: str
 
 
-def literal_tokens(regex: str) -> list[str]:
-    """Tokens every match holds whole, lower-cased; empty where none is certain."""
+#: a pattern is spelt out into so many ways at most; alternatives beyond stand for any text
+WAYS = 256
+
+
+def literal_tokens(regex: str) -> list[list[str]]:
+    """For each way the pattern can match, the tokens that such a match holds whole, lower-cased; empty where none is certain."""
     from re import _constants as c
     from re import _parser
 
-    def plain(item) -> str | None:
-        op, value = item
-        if op is c.LITERAL:
-            return chr(value)
-        return None
-
     def separates(op, value) -> bool:
         if op is c.IN:
             return all(o is c.LITERAL and not chr(v).isalnum() for o, v in value)
@@ -63,12 +62,29 @@ def literal_tokens(regex: str) -> list[str]:
             return all(len(b) == 1 and (b[0][0] is c.AT or b[0][0] is c.LITERAL and not chr(b[0][1]).isalnum() or separates(*b[0])) for b in value[1])
         return op is c.AT and value in (c.AT_BEGINNING, c.AT_BEGINNING_STRING, c.AT_END, c.AT_END_STRING)
 
-    text = "\x01"
-    for item in _parser.parse(regex):
-        letter = plain(item)
-        text += letter.lower() if letter is not None else "\x00" if separates(*item) else "\x01"
-    text += "\x01"
-    return [m[0] for m in _TOKEN.finditer(text) if text[m.start() - 1] != "\x01" and text[m.end()] != "\x01" and text[m.start() - 1].isascii()]
+    def spelt(items) -> list[str]:
+        """The ways as texts: \x00 stands for a separator or an end, \x01 for anything."""
+        ways = [""]
+        for op, value in items:
+            if op is c.LITERAL:
+                more = [chr(value).lower()]
+            elif separates(op, value):
+                more = ["\x00"]
+            elif op is c.SUBPATTERN:
+                more = spelt(value[3])
+            elif op is c.BRANCH:
+                more = [way for branch in value[1] for way in spelt(branch)]
+            else:
+                more = ["\x01"]
+            if len(ways) * len(more) > WAYS:
+                more = ["\x01"]
+            ways = [a + b for a in ways for b in more]
+        return ways
+
+    def certain(text: str) -> list[str]:
+        return [m[0] for m in _TOKEN.finditer(text) if text[m.start() - 1] != "\x01" and text[m.end()] != "\x01" and text[m.start() - 1].isascii()]
+
+    return [certain(f"\x01{way}\x01") for way in dict.fromkeys(spelt(_parser.parse(regex)))]
 
 
 class Judge:
@@ -83,9 +99,10 @@ class Judge:
         self.always: list[int] = []
         self.index: dict[str, list[int]] = {}
         for k, p in enumerate(patterns):
-            tokens = literal_tokens(p.regex)
-            if tokens:
-                self.index.setdefault(min(tokens, key=lambda t: (frequency.get(t, 0), t)), []).append(k)
+            ways = literal_tokens(p.regex)
+            if all(ways):
+                for token in {min(tokens, key=lambda t: (frequency.get(t, 0), t)) for tokens in ways}:
+                    self.index.setdefault(token, []).append(k)
             else:
                 self.always.append(k)
 
@@ -145,7 +162,7 @@ def judge_urls(pages: DataFrame, hosts: list[HostRule], patterns: list[Pattern],
     columns are not read.
     """
     pages = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    tokens = sorted({t for p in patterns for t in literal_tokens(p.regex)})
+    tokens = sorted({t for p in patterns for way in literal_tokens(p.regex) for t in way})
     frequency = token_frequencies(pages.select("url"), tokens) if tokens else {}
     shared = pages.sparkSession.sparkContext.broadcast(Judge(hosts, patterns, frequency, default))
 
