@@ -352,3 +352,28 @@ def test_leak_gate_over_a_generated_corpus(spark):
 def test_flat_lines(spark):
     rows = spark.createDataFrame([("a\nb",), ("a\r\nb\n",), ("\n",), ("a\n\n",), (None,)], "t string").select(C.flat_lines(F.col("t"))).collect()
     assert [r[0] for r in rows] == ["a b", "a b", "", "a ", None]
+
+
+def test_stream_of_chunks_keeps_parts_and_ends_scopes(spark, tmp_path):
+    from veilspark.streaming.redact_stream import frames_of_chunks
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    whole = frames.encode_request("first") + frames.encode_request("zweité")
+    huge = b"\x7f" * 8
+    batches = [
+        [("a", 0, whole[:7], False), ("b", 0, huge, False), ("c", 0, whole[:11], True)],
+        [("a", 1, whole[7:12], False), ("b", 1, whole, False), ("c", 1, whole, False)],
+        [("a", 2, whole[12:], False), ("a", 3, None, True)],
+    ]
+    schema, folder = "scope string, seq long, chunk binary, closed boolean", str(tmp_path / "in")
+    got = []
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        stream = frames_of_chunks(spark.readStream.schema(schema).parquet(folder))
+        keep = lambda df, _: got.extend(tuple(r) for r in df.collect())
+        run = stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).foreachBatch(keep).start()
+        run.awaitTermination()
+    by = lambda scope: [r[1:] for r in got if r[0] == scope]
+    assert by("a") == [(0, 0, "first"), (1, 0, "zweité")]
+    assert by("b") == [(0, 2, "")]
+    assert by("c") == [(0, 0, "first"), (0, 0, "first"), (1, 0, "zweité")]

@@ -96,6 +96,8 @@ class _Frames(StatefulProcessor):
         for chunk in frame["chunk"]:
             if broken:
                 break
+            if chunk is None:
+                continue
             reader.feed(chunk)
             try:
                 for _, text in reader.frames():
@@ -104,7 +106,10 @@ class _Frames(StatefulProcessor):
             except Oversize:
                 out.append((str(key[0]), n, PROTOCOL, ""))
                 broken = True
-        self.rest.update((reader.rest if not broken else b"", n, broken))
+        if frame["closed"].any():
+            self.rest.clear()
+        else:
+            self.rest.update((reader.rest if not broken else b"", n, broken))
         yield pd.DataFrame(out, columns=["scope", "seq", "status", "payload"])
 
     def close(self) -> None:
@@ -112,8 +117,12 @@ class _Frames(StatefulProcessor):
 
 
 def frames_of_chunks(chunks: DataFrame, limit: int = MAX_FRAME) -> DataFrame:
-    """(scope, seq, status, payload) of a stream of byte chunks (scope, seq, chunk)."""
-    rows = chunks.select(F.col("scope").cast("string").alias("scope"), "seq", "chunk")
+    """(scope, seq, status, payload) of a stream of byte chunks (scope, seq, chunk) with or without ``closed``.
+
+    A row with ``closed`` set ends its scope: what is left of a frame is dropped with the state.  A null chunk adds nothing.
+    """
+    closed = F.coalesce(F.col("closed"), F.lit(False)) if "closed" in chunks.columns else F.lit(False)
+    rows = chunks.select(F.col("scope").cast("string").alias("scope"), "seq", "chunk", closed.alias("closed"))
     return rows.groupBy("scope").transformWithStateInPandas(_Frames(limit), "scope string, seq long, status int, payload string", "Update", "None")
 
 
