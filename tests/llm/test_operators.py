@@ -120,6 +120,28 @@ def test_pair_that_twenty_tuples_miss(spark):
     assert near_dup.keep_one(docs_of(spark, texts)).count() == 1
 
 
+def test_tables_hold_a_group_of_copies_once(spark, monkeypatch):
+    from veilspark.llm.common import Stages
+
+    rng, base, rows, write = random.Random(5), [f"w{k}" for k in range(400)], [], Stages.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        rows.append(out.count() if "at" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(Stages, "write", counted)
+    texts = [" ".join(base[:n]) for n in (285, 270)]
+    for k in range(80):
+        copy = list(base)
+        copy[rng.randrange(400)] = f"new{k}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(docs_of(spark, texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == brute_components(list(range(len(texts))), brute_sets(texts))
+    # a row for each copy and table would be 80 * 576
+    assert sum(rows) < 80 * 576 // 2
+
+
 @pytest.mark.parametrize("shuffled", [True, False])
 def test_components_of_a_long_path(spark, shuffled):
     from veilspark.llm.common import Stages

@@ -12,12 +12,13 @@ words share all tables and are confirmed like any other pair.  Steps, each of wh
 one before wrote to the shared folder:
 
 1. rows become classes, each with a number of its own;
-2. classes that share a table key are tied to the smallest class of that key (a star, never all
-   pairs), and each tie is confirmed on full sets.  Of left tuples or tables with the same members
-   one is enough, so the tables of a group of copies do not multiply;
-3. confirmed ties are contracted to components;
-4. keys that still hold several components and three classes or more could hide a link between
-   two non-hub members.  Their classes are tied into tangles.  A tangle of up to ``TANGLE`` classes
+2. classes that share a left tuple are tied to the smallest class that has it (a star, never all
+   pairs); ties that share a table key are confirmed on full sets and contracted to components;
+3. table keys are combined by component, so a group of copies is one row of a table and not one for
+   each copy.  Of left tuples or tables with the same members one is enough.  A key that still holds
+   two components and no third class is a pair, confirmed like a tie;
+4. other keys that hold several components could hide a link between any two of them.  Their
+   components are tied into tangles, with all their classes.  A tangle of up to ``TANGLE`` classes
    is cut into blocks and block pairs are compared; a larger one is compared table by table, so
    only classes that share a table key meet.  Compared are pairs that share a table key and are not
    yet connected;
@@ -140,13 +141,14 @@ def _left_rows(tuples: int, gate: Gate | None = None):
 
 
 def _table_rows(tuples: int):
-    """(left hash, nid, signature) to (table key, nid), one row for each table of that left tuple."""
+    """(left hash, nid, root, signature) to (table key, nid, root), one row for each table of that left tuple."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        left, nid = np.asarray(batch.column(0)).view(np.uint64), np.asarray(batch.column(1))
-        right = _matrix(batch.column(2), np.uint64, 2 * tuples)[:, tuples:]
+        left = np.asarray(batch.column(0)).view(np.uint64)
+        right = _matrix(batch.column(3), np.uint64, 2 * tuples)[:, tuples:]
         at = tv.mix(left[:, None] * tv.U64(3) + right).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.repeat(nid, tuples))], ["at", "nid"])
+        nid, root = (pa.array(np.repeat(np.asarray(batch.column(k)), tuples)) for k in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), nid, root], ["at", "nid", "root"])
 
     return run
 
@@ -288,18 +290,32 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (total - common)
 
 
-def _confirm_stars(percent: int):
-    """Rows sorted by (hub, salt, member first hub): keeps one hub set and tests each member against it."""
+def _similar(percent: int):
+    return lambda a, b: similar(a, b, percent)
+
+
+def _meet(tuples: int):
+    """Whether two signatures share a table key."""
+
+    def test(a: np.ndarray, b: np.ndarray) -> bool:
+        hit = a == b
+        return bool(hit[:tuples].any() and hit[tuples:].any())
+
+    return test
+
+
+def _confirm_stars(test):
+    """Rows sorted by (hub, salt, member first hub): keeps one hub's values and tests each member's against them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
+        hub, hub_values = None, None
         for batch in batches:
             a, b = [], []
             for key, member, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 values = np.frombuffer(raw.as_buffer(), np.uint64)
                 if key == member:
-                    hub, hub_set = key, values.copy()
-                elif key == hub and similar(hub_set, values, percent):
+                    hub, hub_values = key, values.copy()
+                elif key == hub and test(hub_values, values):
                     a.append(key)
                     b.append(member)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -308,13 +324,13 @@ def _confirm_stars(percent: int):
     return run
 
 
-def confirm_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The ties (hub, member) whose full sets are similar enough."""
+def confirm_stars(stars: DataFrame, values: DataFrame, test) -> DataFrame:
+    """The ties (hub, member) as (a, b) whose values, of the two columns nid and values, pass the test."""
     salted = stars.select("hub", "member", F.pmod(F.xxhash64("member"), F.lit(SALTS)).alias("salt"))
     hubs = salted.select("hub", F.col("hub").alias("member"), "salt").distinct()
-    rows = salted.unionAll(hubs).join(sets.withColumnRenamed("nid", "member"), "member")
+    rows = salted.unionAll(hubs).join(values.toDF("member", "nd_values"), "member")
     rows = rows.repartition(F.col("hub"), F.col("salt")).sortWithinPartitions("hub", "salt", (F.col("hub") != F.col("member")))
-    return rows.select("hub", "member", "nd_set").mapInArrow(_confirm_stars(percent), "a long, b long")
+    return rows.select("hub", "member", "nd_values").mapInArrow(_confirm_stars(test), "a long, b long")
 
 
 def _block_links(percent: int, tuples: int):
@@ -361,37 +377,81 @@ def _sent(stages: Stages, df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.limit(SEND + 1).count() <= SEND else df
 
 
+def _members(nid: str = "nid") -> list:
+    """Aggregates that tell a group's members: how many, and two sums of hashes."""
+    return [F.count("*").alias("n"), F.bit_xor(F.xxhash64(nid)).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), nid)).alias("y")]
+
+
 def _distinct_groups(rows: DataFrame, key: str) -> DataFrame:
-    """(key, lo, hi, n) of the groups with two members or more; of groups with the same members one."""
-    groups = rows.groupBy(key).agg(F.min("nid").alias("lo"), F.max("nid").alias("hi"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "nid")).alias("y"))
-    return groups.where("lo <> hi").groupBy("lo", "hi", "n", "x", "y").agg(F.min(key).alias(key)).select(key, "lo", "hi", "n")
+    """(key, hub) of the groups with two members or more, hub being the least; of groups with the same members one."""
+    groups = rows.groupBy(key).agg(F.min("nid").alias("hub"), F.max("nid").alias("hi"), *_members())
+    return groups.where("hub <> hi").groupBy("hub", "hi", "n", "x", "y").agg(F.min(key).alias(key)).select(key, "hub")
 
 
-def _resolve_tangles(stages: Stages, at: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
-    """Links between components that meet in a table key of three classes or more.
+def _mixed_tables(cells: DataFrame) -> DataFrame:
+    """(at, a, b, hub, member, n) of the tables that hold several components; of tables with the same members one.
 
-    at has (at, hub, nid) of those tables; those that hold more than one component so far are mixed.
+    cells has (at, root, nid, n, x, y): of each component in a table its least class and its members'
+    aggregates.  a and b are two of the components, hub and member the least and the largest of the
+    least classes: the two members of a table of two.
     """
-    roots = labels.select("node", "root")
-    rooted = at.join(_sent(stages, roots.withColumnRenamed("node", "nid"), "roots"), "nid", "left").select("at", F.coalesce("root", "nid").alias("root"))
-    mixed = rooted.groupBy("at").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("at")
-    mixed = _sent(stages, mixed, "mixed")
-    if mixed.isEmpty():
-        return at.select(F.col("hub").alias("a"), F.col("nid").alias("b")).limit(0)
-    mixed = stages.write(at.join(mixed, "at").select("at", "hub", "nid"), "mixed-at")
-    tangle = components(stages, mixed.select(F.col("hub").alias("a"), F.col("nid").alias("b")), "tangle")
-    members = tangle.select(F.col("node").alias("nid"), F.col("root").alias("tangle")).join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", "tangle", F.coalesce("root", "nid").alias("root"))
-    members = members.join(sets, "nid").join(classes.select("nid", "nd_sig"), "nid")
-    members = stages.write(members.withColumn("size", F.octet_length("nd_set") / 8), "members")
-    size = members.groupBy("tangle").agg(F.count("*").alias("held"))
+    roots, ends = [F.min("root").alias("a"), F.max("root").alias("b")], [F.min("nid").alias("hub"), F.max("nid").alias("member")]
+    tables = cells.groupBy("at").agg(*roots, *ends, F.sum("n").alias("n"), F.bit_xor("x").alias("x"), F.bit_xor("y").alias("y"))
+    return tables.where("a <> b").groupBy("a", "b", "hub", "member", "n", "x", "y").agg(F.min("at").alias("at")).select("at", "a", "b", "hub", "member", "n")
+
+
+def _rooted(rows: DataFrame, labels: DataFrame, column: str, root: str) -> DataFrame:
+    """rows plus the component of that column's class, itself where it has no link."""
+    known = labels.select(F.col("node").alias(column), F.col("root").alias(root))
+    return rows.join(known, column, "left").withColumn(root, F.coalesce(root, column))
+
+
+def _tangles(stages: Stages, cells: DataFrame, tables: DataFrame, labels: DataFrame) -> DataFrame:
+    """(nid, root, tangle) of all classes of the components that tables of three classes or more tie, however far.
+
+    The two components that each of these tables names are tied first.  What still falls apart after
+    that is aggregated by table, and only tables of three such parts or more are joined with them.
+    """
+    near = components(stages, tables.where("n > 2").select("a", "b"), "near")
+    parts = _rooted(cells.select("at", "root", "n"), _sent(stages, near, "near-roots"), "root", "part")
+    parts = stages.write(parts.groupBy("at", "part").agg(F.sum("n").alias("n")), "near-parts")
+    marks = [F.bit_xor(F.xxhash64("part")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "part")).alias("y")]
+    loose = parts.groupBy("at").agg(F.count("*").alias("held"), F.sum("n").alias("n"), F.min("part").alias("lo"), F.max("part").alias("hi"), *marks).where("held > 1 AND n > 2")
+    loose = stages.write(loose.groupBy("held", "lo", "hi", "x", "y").agg(F.min("at").alias("at")), "loose")
+    others = parts.select("at", "part").join(_sent(stages, loose.where("held > 2").select("at", "lo"), "looser"), "at").select("lo", "part")
+    ties = near.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(loose.where("held = 2").select("lo", "hi")).unionAll(others)
+    tangle = components(stages, ties, "tangle").select(F.col("node").alias("root"), F.col("root").alias("tangle"))
+    linked = labels.select(F.col("node").alias("nid"), "root").join(tangle, "root").select("nid", "root", "tangle")
+    alone = tangle.join(labels.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("nid"), "root", "tangle")
+    placed = stages.write(linked.unionAll(alone), "placed")
+    stages.drop("near-roots", "near-parts", "loose", "looser")
+    return placed
+
+
+def _resolve_tangles(stages: Stages, placed: DataFrame, tables: DataFrame, live: DataFrame, signed: DataFrame, sets: DataFrame, percent: int, tuples: int) -> DataFrame:
+    """Links between components of a tangle.
+
+    placed has (nid, root, tangle); live has (part, nid) of all classes, of which a very large
+    tangle's tables are made again.
+    """
+    size = placed.groupBy("tangle").agg(F.count("*").alias("held"))
     wide = stages.write(size.where(F.col("held") > TANGLE).select("tangle"), "wide")
-    narrow = members.join(wide, "tangle", "left_anti").select(F.struct(F.lit(0).alias("kind"), F.col("tangle").alias("key")).alias("cell"), "nid", "size")
-    tables = mixed.join(members.join(wide, "tangle", "left_semi").select("nid", "size"), "nid").select(F.struct(F.lit(1).alias("kind"), F.col("at").alias("key")).alias("cell"), "nid", "size")
-    cells = stages.write(narrow.unionAll(tables), "cells")
+    cell = lambda kind, key: F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key")).alias("cell")
+    cells = placed.join(wide, "tangle", "left_anti").select(cell(0, "tangle"), "nid")
+    if not wide.isEmpty():
+        own = placed.join(wide, "tangle", "left_semi").select("nid", "root")
+        mixed = tables.where("n > 2").join(own.select(F.col("root").alias("a")).distinct(), "a").select("at")
+        some = live.join(own, "nid").join(signed, "nid").select("part", "nid", "root", "nd_sig")
+        at = map_batches(some, _table_rows(tuples), "at long, nid long, root long")
+        cells = cells.unionAll(at.join(_sent(stages, mixed, "mixed"), "at").select(cell(1, "at"), "nid"))
+    cells = stages.write(cells, "cells")
+    members = cells.select("nid").distinct().join(placed.select("nid", "root"), "nid").join(sets, "nid").join(signed, "nid")
+    members = stages.write(members.withColumn("size", F.octet_length("nd_set") / 8), "members")
+    cells = cells.join(members.select("nid", "size"), "nid")
     blocks = cells.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("long").alias("blocks"))
-    placed = cells.join(stages.write(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
+    dealt = cells.join(stages.write(blocks, "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    dealt = placed.select("cell", "nid", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    dealt = dealt.select("cell", "nid", "block", other).select("*", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     dealt = dealt.join(members.select("nid", "root", "nd_set", "nd_sig"), "nid")
     return dealt.groupBy("cell", "lo", "hi").applyInPandas(_block_links(percent, tuples), "a long, b long")
 
@@ -412,24 +472,35 @@ def class_components(docs: DataFrame, rows: DataFrame, stages: Stages, shingle:
     gates = [gate_of(shared)]
     live = map_batches(signed, _left_rows(tuples, gates[0]), "part long, nid long").join(shared, "part")
     live = stages.write(live, "live")
-    live = stages.write(live.join(_sent(stages, _distinct_groups(live, "part").select("part"), "parts"), "part").select("part", "nid"), "live-parts")
+    live = stages.write(live.join(_sent(stages, _distinct_groups(live, "part"), "parts"), "part").select("part", "hub", "nid"), "live-parts")
     gates.append(gate_of(live.select("nid")))
-    at = map_batches(live.join(gates[1].keep(signed, "nid"), "nid").select("part", "nid", "nd_sig"), _table_rows(tuples), "at long, nid long")
-    at = stages.write(at, "at")
-    tables = stages.write(_distinct_groups(at, "at").withColumnRenamed("lo", "hub"), "tables")
-    larger = stages.write(at.join(_sent(stages, tables.where("n > 2").select("at", "hub"), "larger"), "at").select("at", "hub", "nid"), "at-shared")
-    stages.drop("shared", "live", "parts", "live-parts", "at", "larger")
-    stars = tables.where("n = 2").select("hub", F.col("hi").alias("member")).unionAll(larger.where("hub <> nid").select("hub", F.col("nid").alias("member")))
-    stars = stages.write(stars.distinct(), "stars")
-    involved = stages.write(stars.select(F.col("hub").alias("nid")).unionAll(stars.select("member")).distinct().join(classes.select("nid", "nd_key"), "nid"), "involved")
-    gates.append(gate_of(involved.select("nd_key")))
-    sets = _full_sets(docs, gates[2], shingle).groupBy("nd_key").agg(F.first("nd_set").alias("nd_set"))
-    sets = stages.write(sets.join(involved, "nd_key").select("nid", "nd_set"), "sets")
-    links = stages.write(confirm_stars(stars, sets, percent), "links")
-    labels = components(stages, links, "star")
-    more = stages.write(_resolve_tangles(stages, larger, labels, classes, sets, percent, tuples), "more")
+    signed = gates[1].keep(signed, "nid")
+
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        involved = stages.write(nodes.join(classes.select("nid", "nd_key"), "nid"), f"{name}-involved")
+        gates.append(gate_of(involved.select("nd_key")))
+        sets = _full_sets(docs, gates[-1], shingle).groupBy("nd_key").agg(F.first("nd_set").alias("nd_set"))
+        return stages.write(sets.join(involved, "nd_key").select("nid", "nd_set"), f"{name}-sets")
+
+    ends = lambda stars: stars.select(F.col("hub").alias("nid")).unionAll(stars.select("member")).distinct()
+    ties = confirm_stars(live.where("hub <> nid").select("hub", F.col("nid").alias("member")).distinct(), signed, _meet(tuples))
+    ties = stages.write(ties.toDF("hub", "member"), "ties")
+    sets = sets_of(ends(ties), "part")
+    labels = components(stages, confirm_stars(ties, sets, _similar(percent)), "part")
+    at = _rooted(live.select("part", "nid"), _sent(stages, labels, "part-roots"), "nid", "root").join(signed, "nid").select("part", "nid", "root", "nd_sig")
+    at = map_batches(at, _table_rows(tuples), "at long, nid long, root long")
+    cells = stages.write(at.groupBy("at", "root").agg(F.min("nid").alias("nid"), *_members()), "at")
+    tables = stages.write(_mixed_tables(cells), "tables")
+    stages.drop("shared", "live", "parts")
+    placed = _tangles(stages, cells, tables, labels)
+    stages.drop("at")
+    pairs = stages.write(tables.where("n = 2").select("hub", "member").distinct(), "pairs")
+    nodes = ends(pairs).unionAll(placed.select("nid")).distinct()
+    sets = sets.unionAll(sets_of(nodes.join(sets.select("nid"), "nid", "left_anti"), "more"))
+    more = confirm_stars(pairs, sets, _similar(percent)).unionAll(_resolve_tangles(stages, placed, tables, live, signed, sets, percent, tuples))
+    more = stages.write(more, "more")
     if not more.isEmpty():
-        labels = components(stages, links.unionAll(more), "all")
+        labels = components(stages, labels.select(F.col("node").alias("a"), F.col("root").alias("b")).unionAll(more), "all")
     own = classes.select("nid", "nd_key", "held", "least_id")
     known = stages.write(labels.select(F.col("node").alias("nid"), "root").join(own, "nid"), "known")
     smallest = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
